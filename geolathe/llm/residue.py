@@ -97,11 +97,12 @@ COURSE = re.compile(r"^\W*(?:\[?[\dOo]{1,5}\]?\.?\s+)?(?:(?:where|when(?:ever)?|
 # Cheap parts of all of the above for RE2; what they miss cannot be evidence.
 FILTER = (
     r"(?i)\{\{|\{%|[$#]\{|<%|<<|\[\[|@@|%%|%\(|__[^\W_]|&lt;|goes here|[\[【〔][^\]】〕\n]{0,60}(?:insert|enter|add|tbd|tba|tbc|todo|fill|to be|your|placeholder|einsetz|einfüg|eintrag|ausfüll|ergänz|platzhalter|introducir|complet|rellenar|indi[cq]|insér|remplir|compl|saisir|điền|nhập|chèn|bổ sung|вставить|заполнить|указать|inserir|填|输入|插入|待补)|<\s*(?:insert|enter|your|add)|<[^\W\d][^>\s]*_"
-    r"|lorem|ipsum|adipisc|dolor |java ?script|noscript|script|skript|脚本|tập lệnh|скрипт|cookie|browser|navigateur|navegador|trình duyệt|浏览器|traceback|exception|error|fehler|erreur|lỗi|错误|ошибк|erro |sqlstate|ora-\d|gateway|not found|forbidden|denied|unavailable|too many requests|went wrong|oops|session|sitzung|sesión|sign in again|log in again|asked for|requested|has been moved|no longer available|wait \d+|upstream|please|try again|permission|authori[sz]ed|unable to|failed to|not be (?:delivered|loaded|displayed|retrieved|opened|found)|time-?out|timed out|connection (?:refused|reset)|bad request|internal server"
+    r"|lorem|ipsum|adipisc|dolor |java ?script|noscript|\bscripts?\b|\bskripte?\b|脚本|tập lệnh|скрипт|cookie|browser|navigateur|navegador|trình duyệt|浏览器|traceback|exception|error|fehler|erreur|lỗi|错误|ошибк|erro |sqlstate|ora-\d|gateway|not found|forbidden|denied|unavailable|too many requests|went wrong|oops|session|sitzung|sesión|sign in again|log in again|asked for|requested|has been moved|no longer available|wait \d+|upstream|please|try again|permission|authori[sz]ed|unable to|failed to|not be (?:delivered|loaded|displayed|retrieved|opened|found)|time-?out|timed out|connection (?:refused|reset)|bad request|internal server"
     r"|nicht (?:gefunden|geladen|angezeigt|geöffnet|abgerufen|verfügbar)|versuchen sie|zugriff|introuvable|n'existe pas|réessay|indisponible|accès|no se (?:encontr|ha|pued|pudo)|no está disponible|int[eé]nt[ae]lo|intentarlo|acceso|no encontrada|không tìm thấy|thử lại|không thể|hết hạn|từ chối|không (?:khả dụng|có sẵn|tồn tại)|xảy ra|请|無法|无法|不存在|未找到|找不到|过期|拒绝|权限|不可用|繁忙|не найдена|попробуйте|доступ|non trovata|riprova|não encontrada|novamente"
-    r"|sample|dummy|filler|placeholder|example (?:text|par|cl)|overwrite|replace this|your (?:abstract|title|text|claim|description|summary|content)|(?:goes|to follow|be added|be inserted|comes)\W*(?:here|later|\n|$)|blah|delete this|be (?:deleted|removed|replaced) before|blindtext|platzhalter|mustertext|beispieltext|fülltext|an dieser stelle|hier (?:steht|folgt|kommt)|(?:veröffentlichung|einreichung)|remplissage|d'exemple|factice|fictif|provisoire|avant (?:le|la|pub|dép)|ce texte|relleno|de (?:ejemplo|muestra|prueba)|antes de (?:pub|pres|la pub)|este texto|nội dung mẫu|văn bản|thay thế|占位|填充|示例|样例|будет|заполнитель|segnaposto|\btbd\b|\btba\b|todo|fixme|xxx|asdf|qwert|jkl|foo ?bar|stack trace|nullpointer|caused by|segmentation|fatal|warning:|notice:|file \"|\d{3} gone|error:|\bgone\b"
-    r"|Ã|Â|á»|áº|Ä|æ[\x{80}-\x{ff}\x{152}-\x{192}\x{2013}-\x{2122}]|å[\x{80}-\x{ff}\x{152}-\x{192}\x{2013}-\x{2122}]|ç[\x{80}-\x{ff}\x{152}-\x{192}\x{2013}-\x{2122}]|[\p{L}][01][\p{L}]"
+    r"|sample (?:par|text|claim|abs|tit|desc|cont|sec|head|sent|sum|copy)|dummy|filler|placeholder|example (?:text|par|cl)|overwrite|replace this|your (?:abstract|title|text|claim|description|summary|content)|(?:text|content|abstract|description|title|claims?) (?:goes|to follow|to be added|to be inserted|comes)|blah|delete this|be (?:deleted|removed|replaced) before|blindtext|platzhalter|mustertext|beispieltext|fülltext|an dieser stelle|hier (?:steht|folgt|kommt)|(?:veröffentlichung|einreichung)|remplissage|d'exemple|factice|fictif|provisoire|avant (?:le|la|pub|dép)|ce texte|relleno|de (?:ejemplo|muestra|prueba)|antes de (?:pub|pres|la pub)|este texto|nội dung mẫu|văn bản|thay thế|占位|填充|示例|样例|будет|заполнитель|segnaposto|\btbd\b|\btba\b|todo|fixme|xxx|asdf|qwert|jkl|foo ?bar|stack trace|nullpointer|caused by|segmentation|fatal|warning:|notice:|file \"|\d{3} gone|error:|\bgone\b"
 )
+# Lines that may read otherwise once mended: UTF-8 read as Windows-1252, ligatures, digits inside words.
+BROKEN = r"[ÃÂÄÅ][\x{80}-\x{17e}\x{192}\x{2c6}-\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|á[º»]|[åæçèéä][\x{80}-\x{bf}\x{152}-\x{178}\x{192}\x{2c6}\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|[ﬀ-ﬄ]|\p{L}[01]+\p{L}|\b[01]\p{L}{2}|\p{L}{2}[01]\b|\x{ad}|\x{200b}"
 _word = re.compile(r"[^\W\d_]+")
 _sentence = re.compile(r"(?<=[.!?。！？…])[\"'”»]?\s+|(?<=[。！？])")
 
@@ -199,21 +200,23 @@ def _scan_batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
     yield rows(0, hosts, [None] * len(hosts), n_docs)
     yield rows(1, hosts[k], h, sums.to_numpy())
-    hit = np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, FILTER), False).to_numpy(zero_copy_only=False))
+    # The sentences of the few lines that pass the filter, as they are or mended, are looked at one by one.
+    like = pc.match_substring_regex(flat, FILTER)
+    broken = pc.and_not(pc.match_substring_regex(flat, BROKEN), like)
+    pick = np.flatnonzero(like.to_numpy(zero_copy_only=False) & full)
+    fix = np.flatnonzero(broken.to_numpy(zero_copy_only=False) & full)
+    if len(fix):
+        new = pa.array([mended(v) for v in flat.take(pa.array(fix)).to_pylist()], pa.string())
+        pick = np.sort(np.concatenate([pick, fix[pc.match_substring_regex(new, FILTER).to_numpy(zero_copy_only=False)]]))
+    kind_of = [line_evidence(v) for v in flat.take(pa.array(pick)).to_pylist()]
+    found: dict[int, list[tuple[int, str]]] = {}
+    for i, k_ in zip(pick.tolist(), kind_of):
+        if k_:
+            found.setdefault(int(of[i]), []).append((int(hashes[i]), k_))
     ends = np.cumsum(counts)
-    keep, evs, kinds, all_lines = [], [], [], []
-    for d in hit:
-        a, e = ends[d] - counts[d], ends[d]
-        found, of_kind = [], []
-        for i in range(a, e):
-            if full[i] and (k_ := line_evidence(flat[i].as_py())):
-                found.append(int(hashes[i]))
-                of_kind.append(k_)
-        if found:
-            keep.append(int(d))
-            evs.append(found)
-            kinds.append(of_kind)
-            all_lines.append(hashes[a:e][full[a:e]].tolist())
+    keep = sorted(found)
+    evs, kinds = [[h_ for h_, _ in found[d]] for d in keep], [[k_ for _, k_ in found[d]] for d in keep]
+    all_lines = [hashes[ends[d] - counts[d] : ends[d]][full[ends[d] - counts[d] : ends[d]]].tolist() for d in keep]
     if keep:
         yield rows(2, host[keep], [None] * len(keep), [None] * len(keep), b.column("doc_id").take(pa.array(keep)), evs, kinds, all_lines)
 
