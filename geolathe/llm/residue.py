@@ -99,12 +99,10 @@ FILTER = (
     r"(?i)\{\{|\{%|[$#]\{|<%|<<|\[\[|@@|%%|%\(|__[^\s_]|&lt;|goes here|[\[【〔][^\]】〕\n]{0,60}(?:insert|enter|add|tbd|tba|tbc|todo|fill|to be|your|placeholder|einsetz|einfüg|eintrag|ausfüll|ergänz|platzhalter|introducir|complet|rellenar|indi[cq]|insér|remplir|compl|saisir|điền|nhập|chèn|bổ sung|вставить|заполнить|указать|inserir|填|输入|插入|待补)|<\s*(?:insert|enter|your|add)|<[^\s\d<>=/!][^>\s]*_"
     r"|lorem|ipsum|adipisc|dolor |java ?script|noscript|\bscripts?\b|\bskripte?\b|脚本|tập lệnh|скрипт|cookie|browser|navigateur|navegador|trình duyệt|浏览器|traceback|exception|error|fehler|erreur|lỗi|错误|ошибк|erro |sqlstate|ora-\d|gateway|not found|forbidden|denied|unavailable|too many requests|went wrong|oops|session|sitzung|sesión|sign in again|log in again|asked for|requested|has been moved|no longer available|wait \d+|upstream|please|try again|permission|authori[sz]ed|unable to|failed to|not be (?:delivered|loaded|displayed|retrieved|opened|found)|time-?out|timed out|connection (?:refused|reset)|bad request|internal server"
     r"|nicht (?:gefunden|geladen|angezeigt|geöffnet|abgerufen|verfügbar)|versuchen sie|zugriff|introuvable|n'existe pas|réessay|indisponible|accès|no se (?:encontr|ha|pued|pudo)|no está disponible|int[eé]nt[ae]lo|intentarlo|acceso|no encontrada|không tìm thấy|thử lại|không thể|hết hạn|từ chối|không (?:khả dụng|có sẵn|tồn tại)|xảy ra|请|無法|无法|不存在|未找到|找不到|过期|拒绝|权限|不可用|繁忙|не найдена|попробуйте|доступ|non trovata|riprova|não encontrada|novamente"
-    r"|sample (?:par|text|claim|abs|tit|desc|cont|sec|head|sent|sum|copy)|dummy|filler|placeholder|example (?:text|par|cl)|overwrite|replace this|your (?:abstract|title|text|claim|description|summary|content)|(?:text|content|abstract|description|title|claims?) (?:goes|to follow|to be added|to be inserted|comes)|blah|delete this|be (?:deleted|removed|replaced) before|blindtext|platzhalter|mustertext|beispieltext|fülltext|an dieser stelle|hier (?:steht|folgt|kommt)|(?:veröffentlichung|einreichung)|remplissage|d'exemple|factice|fictif|provisoire|avant (?:le|la|pub|dép)|ce texte|relleno|de (?:ejemplo|muestra|prueba)|antes de (?:pub|pres|la pub)|este texto|nội dung mẫu|văn bản|thay thế|占位|填充|示例|样例|будет|заполнитель|segnaposto|\btbd\b|\btba\b|todo|fixme|xxx|asdf|qwert|jkl|foo ?bar|\(\w+\.\w+:\d+\)|\bat \w+\.|stack trace|nullpointer|caused by|segmentation|fatal|warning:|notice:|file \"|\d{3} gone|error:|\bgone\b"
+    r"|sample (?:par|text|claim|abs|tit|desc|cont|sec|head|sent|sum|copy)|dummy|filler|placeholder|example (?:text|par|cl)|overwrite|replace this|your (?:abstract|title|text|claim|description|summary|content)|(?:text|content|abstract|description|title|claims?) (?:goes|to follow|to be added|to be inserted|comes)|blah|delete this|be (?:deleted|removed|replaced) before|blindtext|platzhalter|mustertext|beispieltext|fülltext|an dieser stelle|hier (?:steht|folgt|kommt)|(?:veröffentlichung|einreichung)|remplissage|d'exemple|factice|fictif|provisoire|avant (?:le|la|pub|dép)|ce texte|relleno|de (?:ejemplo|muestra|prueba)|antes de (?:pub|pres|la pub)|este texto|nội dung mẫu|văn bản|thay thế|占位|填充|示例|样例|будет|заполнитель|segnaposto|\btbd\b|\btba\b|todo|fixme|xxx|asdf|qwert|jkl|foo ?bar|\(\w+\.\w+:\d+\)|stack trace|nullpointer|caused by|segmentation|fatal|warning:|notice:|file \"|\d{3} gone|error:|\bgone\b"
 )
 # Lines that may read otherwise once mended: UTF-8 read as Windows-1252, ligatures, digits inside words.
 BROKEN = r"[ÃÂÄÅ][\x{80}-\x{17e}\x{192}\x{2c6}-\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|á[º»]|[åæçèéä][\x{80}-\x{bf}\x{152}-\x{178}\x{192}\x{2c6}\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|[ﬀ-ﬄ]|\p{L}[01]+\p{L}|\b[01]\p{L}{2}|\p{L}{2}[01]\b|\x{ad}|\x{200b}"
-# RE2 has no backreference; a word said three times over is looked for in whole texts.
-REPEATED = re.compile(r"\b([a-z]{3,6})[\s,]+\1[\s,]+\1\b")
 _word = re.compile(r"[^\W\d_]+")
 _sentence = re.compile(r"(?<=[.!?。！？…])[\"'”»]?\s+|(?<=[。！？])")
 
@@ -164,6 +162,29 @@ def _norm(lines: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(s, r"\s+", " "))
 
 
+def _repeats(lines: pa.Array) -> np.ndarray:
+    """Lines that say a word of 3 to 6 letters three times over, which RE2 cannot find: bytes are compared with those one word and sign later."""
+    off = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    hit = np.zeros(len(lines), bool)
+    if not len(lines) or off[-1] == off[0]:
+        return hit
+    data = np.frombuffer(lines.buffers()[2], np.uint8)[off[0] : off[-1]] | 0x20
+    letter = (data >= 97) & (data <= 122)
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    n = len(data)
+    for step in range(4, 9):  # the word and one or two signs
+        if n < 3 * step:
+            break
+        # Word starts whose next two words start as many bytes later and hold the same bytes.
+        i = np.flatnonzero(start[: n - 3 * step + 1] & start[step : n - 2 * step + 1] & start[2 * step : n - step + 1])
+        for k in range(1, step - 1):
+            i = i[(data[i + k] == data[i + k + step]) & (data[i + k] == data[i + k + 2 * step])]
+        i = i[data[i] == data[i + step]]
+        hit[np.searchsorted(off - off[0], i, side="right") - 1] = True
+    return hit
+
+
 LINES = "kind tinyint, host string, line bigint, n bigint, doc_id bigint, evidence array<bigint>, kinds array<string>, lines array<bigint>"
 
 
@@ -204,9 +225,7 @@ def _scan_batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield rows(1, hosts[k], h, sums.to_numpy())
     # The sentences of the few lines that pass the filter, as they are or mended, are looked at one by one.
     like = pc.match_substring_regex(flat, FILTER)
-    twice = np.array([REPEATED.search(t) is not None for t in pc.utf8_lower(text).to_pylist()], bool)
-    if twice.any():
-        like = pc.or_(like, pa.array(twice[of]))
+    like = pc.or_(like, pa.array(_repeats(flat)))
     broken = pc.and_not(pc.match_substring_regex(flat, BROKEN), like)
     pick = np.flatnonzero(like.to_numpy(zero_copy_only=False) & full)
     fix = np.flatnonzero(broken.to_numpy(zero_copy_only=False) & full)
