@@ -183,7 +183,8 @@ def contours(df: DataFrame, z: str, interval: float) -> DataFrame:
     at = lambda dr, dc, n: df.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col(z).cast("double").alias(n))
     w = at(0, 0, "a").join(at(0, 1, "b"), ["row", "col"]).join(at(1, 1, "c"), ["row", "col"]).join(at(1, 0, "d"), ["row", "col"]).where("a is not null and b is not null and c is not null and d is not null")
     lo, hi = F.least("a", "b", "c", "d"), F.greatest("a", "b", "c", "d")
-    lv = w.withColumn("level", F.explode(F.sequence(F.ceil(lo / interval), F.floor(hi / interval))) * F.lit(float(interval)))
+    span = F.when(F.ceil(lo / interval) <= F.floor(hi / interval), F.sequence(F.ceil(lo / interval), F.floor(hi / interval)))
+    lv = w.withColumn("level", F.explode(span)).withColumn("level", F.col("level") * F.lit(float(interval)))
     L = F.col("level")
 
     def cut(v0: str, v1: str, x0, y0, x1, y1):

@@ -42,12 +42,12 @@ HOUSES = """houses AS (
 # Sides of each house's first ring, shifted to its first vertex.
 SIDES = """sides AS (
   SELECT uid, i, geom[1][1].x AS ox, geom[1][1].y AS oy, geom[1][i].x - geom[1][1].x AS ax, geom[1][i].y - geom[1][1].y AS ay,
-         geom[1][i % len(geom[1]) + 1].x - geom[1][1].x AS bx, geom[1][i % len(geom[1]) + 1].y - geom[1][1].y AS by
+         geom[1][i % len(geom[1]) + 1].x - geom[1][1].x AS ex, geom[1][i % len(geom[1]) + 1].y - geom[1][1].y AS ey
   FROM (SELECT uid, geom, unnest(generate_series(1, len(geom[1]))) AS i FROM houses))"""
 MEASURES = """measures AS (
-  SELECT uid, abs(sum(ax * by - bx * ay)) / 2 AS area, sum(sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))) AS perimeter,
-         max(ox) + sum((ax + bx) * (ax * by - bx * ay)) / nullif(3 * sum(ax * by - bx * ay), 0) AS cx,
-         max(oy) + sum((ay + by) * (ax * by - bx * ay)) / nullif(3 * sum(ax * by - bx * ay), 0) AS cy
+  SELECT uid, abs(sum(ax * ey - ex * ay)) / 2 AS area, sum(sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay))) AS perimeter,
+         max(ox) + sum((ax + ex) * (ax * ey - ex * ay)) / nullif(3 * sum(ax * ey - ex * ay), 0) AS cx,
+         max(oy) + sum((ay + ey) * (ax * ey - ex * ay)) / nullif(3 * sum(ax * ey - ex * ay), 0) AS cy
   FROM sides GROUP BY uid)"""
 
 
@@ -127,10 +127,10 @@ def hexed(rel: str, name: str = "hexed") -> str:
 # All cells whose centre lies in the box of a site's spots.
 GRID = f"""grid AS (
   WITH bx_ AS (SELECT site, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM spots GROUP BY site),
-  r_ AS (SELECT *, unnest(generate_series(CAST(floor(y0 / {1.5 * EDGE}) AS BIGINT), CAST(ceil(y1 / {1.5 * EDGE}) AS BIGINT))) AS r FROM bx_),
-  q_ AS (SELECT *, unnest(generate_series(CAST(floor(x0 / {1.7320508075688772 * EDGE} - r / 2.0) AS BIGINT), CAST(ceil(x1 / {1.7320508075688772 * EDGE} - r / 2.0) AS BIGINT))) AS q FROM r_)
+  r_ AS (SELECT *, unnest(generate_series(CAST(floor(y0 / {1.5 * EDGE}::DOUBLE) AS BIGINT), CAST(ceil(y1 / {1.5 * EDGE}::DOUBLE) AS BIGINT))) AS r FROM bx_),
+  q_ AS (SELECT *, unnest(generate_series(CAST(floor(x0 / {1.7320508075688772 * EDGE}::DOUBLE - r / 2.0) AS BIGINT), CAST(ceil(x1 / {1.7320508075688772 * EDGE}::DOUBLE - r / 2.0) AS BIGINT))) AS q FROM r_)
   SELECT DISTINCT CAST(q AS VARCHAR) || ':' || CAST(r AS VARCHAR) AS cell FROM q_
-  WHERE {EDGE} * 1.7320508075688772 * (q + r / 2.0) BETWEEN x0 AND x1 AND {EDGE} * 1.5 * r BETWEEN y0 AND y1)"""
+  WHERE {EDGE * 1.7320508075688772}::DOUBLE * (q + r / 2.0) BETWEEN x0 AND x1 AND {EDGE * 1.5} * r BETWEEN y0 AND y1)"""
 
 
 def site_grid(spark, d: str) -> DataFrame:

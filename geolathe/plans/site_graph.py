@@ -182,8 +182,8 @@ def a16_street_count(spark, d):
     return e.select(F.col("u").alias("node")).unionAll(e.select("v")).groupBy("node").agg(F.count("*").alias("degree")).where("degree >= 3")
 
 
-@query(f"""WITH {STREETS}, {FAC}, blk AS (SELECT DISTINCT CAST(floor(ux / 500) AS BIGINT) AS bx, CAST(floor(uy / 500) AS BIGINT) AS by FROM streets), n AS (SELECT k, count(*) AS deg, max(x) AS x, max(y) AS y FROM (SELECT u AS k, ux AS x, uy AS y FROM streets UNION ALL SELECT v, vx, vy FROM streets) GROUP BY 1)
-    SELECT bx, by, count(n.k) AS crossings, round(count(n.k) / 0.25, 4) AS density FROM blk LEFT JOIN n ON n.deg >= 3 AND floor(n.x / 500) = bx AND floor(n.y / 500) = by GROUP BY 1, 2""")
+@query(f"""WITH {STREETS}, {FAC}, blk AS (SELECT DISTINCT CAST(floor(ux / 500) AS BIGINT) AS bx, CAST(floor(uy / 500) AS BIGINT) AS by_ FROM streets), n AS (SELECT k, count(*) AS deg, max(x) AS x, max(y) AS y FROM (SELECT u AS k, ux AS x, uy AS y FROM streets UNION ALL SELECT v, vx, vy FROM streets) GROUP BY 1)
+    SELECT bx, by_ AS "by", count(n.k) AS crossings, round(count(n.k) / 0.25, 4) AS density FROM blk LEFT JOIN n ON n.deg >= 3 AND floor(n.x / 500) = bx AND floor(n.y / 500) = by_ GROUP BY 1, 2""")
 def a4_crossings(spark, d):
     """Junctions of three or more streets per block of 500 m and square kilometre."""
     e = _net(spark, d)

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 _clip = lambda e, a, b: f"CASE WHEN ({e}) IS NOT NULL THEN greatest({a}, least({b}, {e})) END"
 _idx = lambda a, b: f"CAST({a} - {b} AS DOUBLE) / nullif({a} + {b}, 0)"
 NDVI_LST = """nl AS (SELECT id, "row", col, CASE WHEN b04 <> 0 THEN ((2.75e-05 * b08 - 0.2) - (2.75e-05 * b04 - 0.2)) / nullif((2.75e-05 * b08 - 0.2) + (2.75e-05 * b04 - 0.2), 0) END AS ndvi0,
-  CASE WHEN b10 <> 0 THEN 0.00341802 * b10 + 149 - 273.15 END AS lst, 2.75e-05 * b04 - 0.2 AS red FROM pixels),
+  CASE WHEN b10 <> 0 THEN 0.00341802::DOUBLE * b10 + 149 - 273.15 END AS lst, 2.75e-05 * b04 - 0.2 AS red FROM pixels),
 v AS (SELECT id, "row", col, round(CASE WHEN ndvi0 BETWEEN -1 AND 1 THEN ndvi0 END, 9) AS ndvi, round(lst, 9) AS lst, red FROM nl)"""
 
 
@@ -42,7 +42,7 @@ def m1_indices(spark, d):
     return pixels(spark, d).select("id", i("b08", "b04").alias("ndvi"), i("b11", "b08").alias("ndbi"), i("b04", "b11").alias("ndwi"))
 
 
-@query(f"WITH {PIXELS} SELECT id, round(CASE WHEN b04 <> 0 THEN greatest(0, least(1, b04 / 10000.0)) END, 9) AS scaled, round(2.75e-05 * b08 - 0.2, 9) AS refl, round(CASE WHEN b10 <> 0 THEN 0.00341802 * b10 + 149 - 273.15 END, 6) AS lst FROM pixels")
+@query(f"WITH {PIXELS} SELECT id, round(CASE WHEN b04 <> 0 THEN greatest(0, least(1, b04 / 10000.0)) END, 9) AS scaled, round(2.75e-05 * b08 - 0.2, 9) AS refl, round(CASE WHEN b10 <> 0 THEN 0.00341802::DOUBLE * b10 + 149 - 273.15 END, 6) AS lst FROM pixels")
 def m2_scaling(spark, d):
     return pixels(spark, d).select("id", F.round(R.scaled(F.col("b04")), 9).alias("scaled"), F.round(R.reflectance(F.col("b08")), 9).alias("refl"), F.round(R.surface_temperature(F.col("b10")), 6).alias("lst"))
 
@@ -52,9 +52,9 @@ _CAV = f"((1 - 0.9668) * 0.9863 * 0.55 * (1 - {_FVC}))"
 
 
 @query(f"""WITH {PIXELS}, {NDVI_LST} SELECT id, round(CASE WHEN ndvi >= -1 AND ndvi < 0.2 THEN 0.973 - 0.047 * red WHEN ndvi >= 0.2 AND ndvi <= 0.5 THEN 0.9863 * {_FVC} + 0.9668 * (1 - {_FVC}) + {_CAV}
-    WHEN ndvi > 0.5 AND ndvi <= 1 THEN 0.9863 + {_CAV} END, 7) AS emissivity FROM v""")
+    WHEN ndvi > 0.5 AND ndvi <= 1 THEN 0.9863 + {_CAV} END, 5) AS emissivity FROM v""")
 def m3_emissivity(spark, d):
-    return _ndvi_lst(spark, d).select("id", F.round(R.emissivity(F.col("ndvi"), F.col("red")), 7).alias("emissivity"))
+    return _ndvi_lst(spark, d).select("id", F.round(R.emissivity(F.col("ndvi"), F.col("red")), 5).alias("emissivity"))
 
 
 @query(f"""WITH {PIXELS}, a AS (SELECT id, cls, {_idx('b08', 'b04')} - {_idx('b11', 'b04')} AS delta, CASE WHEN {_idx('b04', 'b11')} > 0 THEN 1 ELSE 0 END AS dry, CASE WHEN {_idx('b08', 'b11')} > 0 THEN 1 ELSE 0 END AS flood FROM pixels),

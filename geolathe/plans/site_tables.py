@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geolathe.functions import geom, hexes
 from geolathe.operators import buildings as B
@@ -80,7 +79,7 @@ def src11_ways(spark, d):
     return R.allowed_ways(w, "tags", {"surface": ["STEEL", "COPPER"], "highway": ["Brand#11"]}, "highway").select("id", F.col("tags")["highway"].alias("highway"))
 
 
-@query("SELECT feed, arg_max(file_name, struct_pack(a := at, b := file_name)) AS file_name FROM (SELECT feed, file_name, max(ingested_at) AS at FROM places_raw GROUP BY ALL) GROUP BY feed")
+@query("SELECT feed, arg_max(file_name, struct_pack(a := delivered, b := file_name)) AS file_name FROM (SELECT feed, file_name, max(ingested_at) AS delivered FROM places_raw GROUP BY ALL) GROUP BY feed")
 def src13_newest_file(spark, d):
     f = table(spark, d, "places_raw").groupBy("feed", "file_name").agg(F.max("ingested_at").alias("at"))
     return R.newest(f, "feed", "file_name", "at")
@@ -259,13 +258,13 @@ _HEX_AGG = "count(*) AS n, avg(confidence) AS mean_conf, median(confidence) AS m
 
 
 @query(f"""WITH {SPOTS}, {GRID}, {hexed('spots')}, m AS (SELECT cell, category, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, category) AS k FROM hexed WHERE category IS NOT NULL GROUP BY 1, 2),
-    a AS (SELECT cell, count(id) AS n, round(avg(confidence), 6) AS mean_conf, round(median(confidence), 6) AS med_conf, round(sum(confidence), 4) AS sum_conf FROM hexed GROUP BY 1)
+    a AS (SELECT cell, count(id) AS n, round(avg(confidence), 4) AS mean_conf, round(median(confidence), 4) AS med_conf, round(sum(confidence), 3) AS sum_conf FROM hexed GROUP BY 1)
     SELECT g.cell, coalesce(n, 0) AS n, mean_conf, med_conf, coalesce(sum_conf, 0) AS sum_conf, m.category AS top_category FROM grid g LEFT JOIN a USING (cell) LEFT JOIN m ON m.cell = g.cell AND m.k = 1""")
 def a1_hex_places(spark, d):
     """Count, mean, median, sum and most frequent category per hexagon of the grid."""
     s = spots(spark, d).withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
     r = H.points_to_hex(s, site_grid(spark, d), EDGE, n=("id", "count"), mean_conf=("confidence", "mean"), med_conf=("confidence", "median"), sum_conf=("confidence", "sum"), top_category=("category", "mode"))
-    return r.withColumns({"mean_conf": F.round("mean_conf", 6), "med_conf": F.round("med_conf", 6), "sum_conf": F.round("sum_conf", 4)})
+    return r.withColumns({"mean_conf": F.round("mean_conf", 4), "med_conf": F.round("med_conf", 4), "sum_conf": F.round("sum_conf", 3)})
 
 
 @query(f"""WITH {SPOTS}, {GRID}, {HOUSES}, {SIDES}, {MEASURES}, pm AS (SELECT uid, area, cx AS x, cy AS y FROM measures WHERE cx IS NOT NULL), {hexed('pm')}
@@ -377,10 +376,11 @@ def x1_windowed(spark, d):
 
     src = table(spark, d, "events")
     base = f"{shared_dir(spark)}/geolathe-stream-{uuid.uuid4().hex}"
-    src.select("event_id", "ts", "event_type", "value").write.parquet(f"{base}/in")
-    stream = E.windowed(E.read_events(spark, f"{base}/in", T._parse_datatype_string("event_id bigint, ts timestamp_ntz, event_type string, value double") if dict(src.dtypes)["ts"] == "timestamp_ntz" else src.select("event_id", "ts", "event_type", "value").schema), late="40 days")
+    feed = src.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    feed.write.parquet(f"{base}/in")
+    stream = E.windowed(E.read_events(spark, f"{base}/in", feed.schema), late="40 days")
     q = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "_batch").alias("v"))
-    return last.select("window_start", "event_type", "v.n", F.round("v.total", 4).alias("total"))
+    return last.select(F.col("window_start").cast(src.schema["ts"].dataType).alias("window_start"), "event_type", "v.n", F.round("v.total", 4).alias("total"))
