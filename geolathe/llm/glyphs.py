@@ -15,6 +15,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolathe.session import ship
 
@@ -107,9 +108,7 @@ def with_forms(df: DataFrame, **cols: str) -> DataFrame:
                 fields.append(pa.field(new, pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
 
-    schema = df.schema
-    for new in cols:
-        schema = schema.add(new, "string")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(new, T.StringType()) for new in cols)])
     return df.select(*names).mapInArrow(run, schema)
 
 

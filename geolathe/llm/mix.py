@@ -92,7 +92,7 @@ def mix(counts: DataFrame, targets: DataFrame, *, seed: int = 42, bucket_rows: i
     source or without tokens are never chosen, but all tokens count for the size. Sources without documents reach 0. A null
     share, cap or ratio counts as 0. Several target rows of one plan and source are added up, with the highest cap.
     """
-    counts = materialize(counts, "tokens")
+    counts = materialize(counts.select("doc_id", "source", F.col("tokens").cast("long").alias("tokens")), "tokens")
     n, total = counts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     t = targets.groupBy("plan_name", "source").agg(F.sum(z("target_share")).alias("target_share"), F.max(z("max_repeats")).cast("long").alias("max_repeats"), F.max(z("total_ratio")).alias("total_ratio"))
