@@ -258,13 +258,13 @@ _HEX_AGG = "count(*) AS n, avg(confidence) AS mean_conf, median(confidence) AS m
 
 
 @query(f"""WITH {SPOTS}, {GRID}, {hexed('spots')}, m AS (SELECT cell, category, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, category) AS k FROM hexed WHERE category IS NOT NULL GROUP BY 1, 2),
-    a AS (SELECT cell, count(id) AS n, round(avg(confidence), 4) AS mean_conf, round(median(confidence), 4) AS med_conf, round(sum(confidence), 3) AS sum_conf FROM hexed GROUP BY 1)
+    a AS (SELECT cell, count(id) AS n, round(avg(confidence), 11) AS mean_conf, round(median(confidence), 11) AS med_conf, round(sum(confidence), 6) AS sum_conf FROM hexed GROUP BY 1)
     SELECT g.cell, coalesce(n, 0) AS n, mean_conf, med_conf, coalesce(sum_conf, 0) AS sum_conf, m.category AS top_category FROM grid g LEFT JOIN a USING (cell) LEFT JOIN m ON m.cell = g.cell AND m.k = 1""")
 def a1_hex_places(spark, d):
     """Count, mean, median, sum and most frequent category per hexagon of the grid."""
     s = spots(spark, d).withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
     r = H.points_to_hex(s, site_grid(spark, d), EDGE, n=("id", "count"), mean_conf=("confidence", "mean"), med_conf=("confidence", "median"), sum_conf=("confidence", "sum"), top_category=("category", "mode"))
-    return r.withColumns({"mean_conf": F.round("mean_conf", 4), "med_conf": F.round("med_conf", 4), "sum_conf": F.round("sum_conf", 3)})
+    return r.withColumns({"mean_conf": F.round("mean_conf", 11), "med_conf": F.round("med_conf", 11), "sum_conf": F.round("sum_conf", 6)})
 
 
 @query(f"""WITH {SPOTS}, {GRID}, {HOUSES}, {SIDES}, {MEASURES}, pm AS (SELECT uid, area, cx AS x, cy AS y FROM measures WHERE cx IS NOT NULL), {hexed('pm')}

@@ -33,7 +33,7 @@ def test_same_building_at_another_time(spark):
     data = []
     for i in range(60):
         h = float(np.exp(rng.normal(2, 0.6)))
-        data += [row(f"b{i}", rel="r1", h=h, f=max(1.0, round(h / 3)), cls="office"), row(f"b{i}", rel="r2", h=h, f=max(1.0, round(h / 3)), cls="office")]
+        data += [row(f"b{i}", rel="r1", h=h, f=float(max(1, round(h / 3))), cls="office"), row(f"b{i}", rel="r2", h=h, f=float(max(1, round(h / 3))), cls="office")]
     data += [row("x", rel="r1", h=40.0, f=13.0, cls="office"), row("x", rel="r2", cls="office")]
     r = next(r for r in fill_buildings(spark.createDataFrame(data, S)).collect() if r["id"] == "x" and r["release"] == "r2")
     assert abs(r["height"] - 40) < 3 and abs(r["num_floors"] - 13) <= 1
@@ -47,7 +47,7 @@ def test_held_out_accuracy(spark):
         k = list(kinds)[i % 3]
         site = f"s{i % 9}"
         h = kinds[k] * (1 + 0.05 * (i % 9)) * float(np.exp(rng.normal(0, 0.1)))
-        f = max(1.0, round(h / 3.2))
+        f = float(max(1, round(h / 3.2)))
         hide = i % 5 == 0
         truth[f"b{i}"] = (h, k)
         data.append(row(f"b{i}", site=site, rel=f"r{i % 4}", h=None if hide else h, f=None if hide and i % 2 else f, cls=None if i % 7 == 0 else k, side={"house": 8.0, "office": 25.0, "tower": 30.0}[k]))

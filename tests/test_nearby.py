@@ -39,7 +39,7 @@ def brute(p, n, z, r=25.0):
                 hit = [in_ring(np.array([g[0]]), np.array([g[1]]), *np.array(q, float).reshape(-1, 2).T)[0] for q in rings]
                 if hit[0] and not any(hit[1:]):
                     out.add((i, "zone", zi))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("per_cell", [30, 10_000])
