@@ -332,40 +332,47 @@ def kinds_short(a: Name, b: Name) -> bool:
     return False
 
 
+LONG = 9  # letters from which a word may be two run together
+
+
 def shard_links(left: list[Name], right: list[Name] | None, lex: Lexicon, anchor: str = "") -> list[tuple[int, int]]:
     """Index pairs (left, right) of names that are spellings of one; right None: left against itself, each pair once.
 
-    The words beside the anchors, alone and run together, of one side make the trie, those of the other traverse it.
+    The words of one side beside the anchor make a trie that those of the other traverse; a second trie of the long words
+    is traversed by the other side's neighbouring words run together.
     """
-    other = left if right is None else right
-    where, asks = defaultdict(set), defaultdict(set)
-    for i, n in enumerate(other):
-        for w in _keys(n, anchor):
-            where[w].add(i)
+    seen: set[tuple[int, int]] = set()
+
+    def meet(asking: list[Name], held: list[Name], pair) -> None:
+        for keys, least in ((lambda n: _keys(n, anchor), 0), (lambda n: n.glued, LONG)):
+            where, asks = defaultdict(list), defaultdict(list)
+            for j, n in enumerate(held):
+                for w in _keys(n, anchor):
+                    if len(w) >= least:
+                        where[w].append(j)
+            if not where:
+                continue
+            for i, n in enumerate(asking):
+                for w in keys(n):
+                    asks[w].append(i)
+            trie = Trie(list(where))
+            queries = sorted(asks)
+            q, w, _ = trie.near(queries, np.array([allowed(x) for x in queries], int))
+            for a, b in zip(q.tolist(), w.tolist()):
+                for i in asks[queries[a]]:
+                    for j in where[trie.words[b]]:
+                        pair(i, j)
+
     if right is None:
-        asks = where
-    else:
-        for i, n in enumerate(left):
-            for w in _keys(n, anchor):
-                asks[w].add(i)
-    trie = Trie(list(where))
-    queries = sorted(asks)
-    q, w, _ = trie.near(queries, np.array([allowed(x) for x in queries], int))
-    seen, out = set(), []
-    for a, b in zip(q.tolist(), w.tolist()):
-        for i in asks[queries[a]]:
-            for j in where[trie.words[b]]:
-                if right is None and i >= j:
-                    continue
-                if (i, j) not in seen:
-                    seen.add((i, j))
-                    if same(left[i], other[j], lex):
-                        out.append((i, j))
-    return out
+        meet(left, left, lambda i, j: seen.add((i, j) if i < j else (j, i)) if i != j else None)
+        return [p for p in sorted(seen) if same(left[p[0]], left[p[1]], lex)]
+    meet(left, right, lambda i, j: seen.add((i, j)))
+    meet(right, left, lambda i, j: seen.add((j, i)))
+    return [p for p in sorted(seen) if same(left[p[0]], right[p[1]], lex)]
 
 
 def _keys(n: Name, anchor: str) -> list[str]:
-    return [w for w in n.rest if len(w) >= 4 and w != anchor and w not in _formal] + n.glued
+    return [w for w in n.rest if len(w) >= 4 and w != anchor and w not in _formal]
 
 
 COMMON = 0.0005  # share of all names from which a word is common; so at most (words per name) / COMMON words are

@@ -13,33 +13,30 @@ class Trie:
     def __init__(self, words: list[str]):
         self.words = sorted(set(words))
         n = len(self.words)
-        width = max(map(len, self.words), default=0)
+        size = np.array([len(w) for w in self.words], int)
+        width = int(size.max()) if n else 0
         code = np.zeros((n, width), np.int32)
         for i, w in enumerate(self.words):
-            code[i, : len(w)] = [ord(c) for c in w]
-        # Nodes depth by depth: a node is a run of sorted words with one prefix.
+            code[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
+        # Nodes depth by depth: a node is a run of sorted words with one prefix. A word opens a node where it shares less
+        # with the word before it.
+        shared = np.zeros(n, int)
+        if n > 1:
+            shared[1:] = np.cumprod(code[1:] == code[:-1], axis=1).sum(1)
         self.child_from, self.child_to, self.char, self.word = [], [], [], []
-        lo, hi = np.array([0]), np.array([n])
         self.depth = width
+        of, nodes = np.zeros(n, int), 1
         for t in range(width):
-            # Words that end here come first in their run; they have no further character.
-            starts, ends, chars, first_child, last_child = [], [], [], [], []
-            for a, b in zip(lo, hi):
-                first_child.append(len(starts))
-                col = code[a:b, t]
-                cut = np.flatnonzero(np.diff(col)) + 1 if b > a else np.zeros(0, int)
-                for s, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [b - a]])):
-                    if b > a and col[s]:
-                        starts.append(a + s)
-                        ends.append(a + e)
-                        chars.append(col[s])
-                last_child.append(len(starts))
-            self.child_from.append(np.array(first_child))
-            self.child_to.append(np.array(last_child))
-            self.char.append(np.array(chars, np.int32))
-            lo, hi = np.array(starts, int), np.array(ends, int)
-            # The word that ends at a node, or -1.
-            self.word.append(np.array([s if len(self.words[s]) == t + 1 else -1 for s in lo], int))
+            first = np.flatnonzero((size > t) & ((shared <= t) | (np.arange(n) == 0)))
+            parent = of[first]
+            self.child_from.append(np.searchsorted(parent, np.arange(nodes), "left"))
+            self.child_to.append(np.searchsorted(parent, np.arange(nodes), "right"))
+            self.char.append(code[first, t])
+            # The word that ends at a node, or -1; it is the first of its run.
+            self.word.append(np.where(size[first] == t + 1, first, -1))
+            opens = np.zeros(n, int)
+            opens[first] = 1
+            of, nodes = np.cumsum(opens) - 1, len(first)
 
     def near(self, queries: list[str], bound: np.ndarray, chunk: int = 1024):
         """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query."""
@@ -56,7 +53,7 @@ class Trie:
         # Column j - 1 of the padded matrix, shifted by k + 1, is character j of the query; -1 never matches.
         q = np.full((len(queries), max(int(m.max()), self.depth) + 3 * k + 4), -1, np.int32)
         for i, w in enumerate(queries):
-            q[i, k + 1 : k + 1 + len(w)] = [ord(c) for c in w]
+            q[i, k + 1 : k + 1 + len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
         big = k + 1
         qi = np.arange(len(queries))
         node = np.zeros(len(queries), np.int64)
