@@ -332,7 +332,7 @@ def kinds_short(a: Name, b: Name) -> bool:
     return False
 
 
-LONG = 9  # letters from which a word may be two run together
+LONG = 8  # letters from which a word may be two run together, as in `same`
 
 
 def shard_links(left: list[Name], right: list[Name] | None, lex: Lexicon, anchor: str = "") -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
 """A trie of words and the traversal of it with Levenshtein automata, many queries at a time.
 
-The automaton of a query is kept as the band of its edit-distance row around the diagonal; all live (query, node) states of
+The automaton of a query (edits, with a swap of neighbours as one) is kept as the band of its distance row around the diagonal; all live (query, node) states of
 one depth are advanced together as numpy arrays and dropped as soon as no entry of the band is within the bound.
 """
 
@@ -39,7 +39,7 @@ class Trie:
             of, nodes = np.cumsum(opens) - 1, len(first)
 
     def near(self, queries: list[str], bound: np.ndarray, chunk: int = 1024):
-        """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query."""
+        """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query; a swap of neighbours is one edit."""
         out = [], [], []
         for at in range(0, len(queries), chunk):
             self._near(queries[at : at + chunk], bound[at : at + chunk], at, out)
@@ -61,6 +61,7 @@ class Trie:
         for o in range(k, 2 * k + 1):
             band[o] = o - k
         band[np.arange(2 * k + 1)[:, None] - k > m[None, :]] = big
+        before, last = np.full_like(band, big), np.zeros(len(queries), np.int32)  # the row before and the character between
         for t in range(self.depth):
             a, b = self.child_from[t][node], self.child_to[t][node]
             n = b - a
@@ -68,7 +69,7 @@ class Trie:
             if not len(rep):
                 return
             node = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-            qi, old = qi[rep], band[:, rep]
+            qi, old, old2, last = qi[rep], band[:, rep], before[:, rep], last[rep]
             c = self.char[t][node]
             band = np.full_like(old, big)
             mq = m[qi]
@@ -81,9 +82,11 @@ class Trie:
                     best = np.minimum(best, old[o + 1] + 1)
                 if o:
                     best = np.minimum(best, band[o - 1] + 1)
+                if j > 1 and t:
+                    best = np.where((c == q[qi, j + k - 1]) & (last == q[qi, j + k]), np.minimum(best, old2[o] + 1), best)
                 band[o] = np.where(j <= mq, np.minimum(best, big), big)
             live = band.min(0) <= bound[qi]
-            qi, node, band, mq = qi[live], node[live], band[:, live], mq[live]
+            qi, node, band, mq, before, last = qi[live], node[live], band[:, live], mq[live], old[:, live], c[live]
             w = self.word[t][node]
             o = mq - (t + 1) + k
             end = (w >= 0) & (o >= 0) & (o <= 2 * k)

@@ -10,13 +10,16 @@ from geolathe.llm.names import Lexicon, Name, distance, same, same_given, varian
 from geolathe.llm.trie import Trie
 
 
-def lev(a, b):
-    p = list(range(len(b) + 1))
+def osa(a, b):
+    two, p = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         c = [i]
         for j, y in enumerate(b, 1):
-            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
-        p = c
+            v = min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                v = min(v, two[j - 2] + 1)
+            c.append(v)
+        two, p = p, c
     return p[-1]
 
 
@@ -27,7 +30,7 @@ def test_trie_equals_brute_force(k):
     asks = ["".join(r.choice("abcd") for _ in range(r.randint(0, 8))) for _ in range(80)]
     t = Trie(words)
     q, w, d = t.near(asks, np.full(80, k), chunk=33)
-    assert {(i, t.words[j]): x for i, j, x in zip(q.tolist(), w.tolist(), d.tolist())} == {(i, v): lev(a, v) for i, a in enumerate(asks) for v in set(words) if lev(a, v) <= k}
+    assert {(i, t.words[j]): x for i, j, x in zip(q.tolist(), w.tolist(), d.tolist())} == {(i, v): osa(a, v) for i, a in enumerate(asks) for v in set(words) if osa(a, v) <= k}
 
 
 LEX = Lexicon({"coffee", "house", "school", "primary", "ca", "phe"}, {"zebotem", "levenal", "lekebal", "lelevam"})
