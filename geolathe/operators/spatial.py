@@ -30,18 +30,13 @@ def within(points: DataFrame, polygons: DataFrame, *, size: float = 100.0, how:
     inside = geom.in_polygon(F.col("x"), F.col("y"), F.col("geom"))
     if how == "inner":
         return hit.where(inside).drop("bx", "by", "geom")
-    extra = [c for c in polygons.columns if c != "geom"]
-    # A point keeps one NULL row only where nothing holds it.
-    found = hit.where(inside).select(*points.columns, *extra)
-    return points.join(found, points.columns, "left") if not extra else _left(points, found, extra)
-
-
-def _left(points: DataFrame, found: DataFrame, extra: list[str]) -> DataFrame:
-    key = [found[c].eqNullSafe(points[c]) for c in points.columns]
-    cond = key[0]
-    for k in key[1:]:
-        cond = cond & k
-    return points.join(found, cond, "left").select(*[points[c] for c in points.columns], *[found[c] for c in extra])
+    # A point that nothing holds keeps one row with NULLs.
+    found = hit.where(inside).drop("bx", "by", "geom")
+    held = found.select(*[F.col(c).alias(f"_k_{c}") for c in points.columns]).distinct()
+    same = F.lit(True)
+    for c in points.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return found.unionByName(points.join(held, same, "left_anti"), allowMissingColumns=True)
 
 
 def first_within(points: DataFrame, polygons: DataFrame, key: str, order: str, *, size: float = 100.0) -> DataFrame:
