@@ -10,8 +10,46 @@ import numpy as np
 
 
 class Trie:
+    """Two tries, of the words and of the words read backwards.
+
+    Of at most b edits, the first half of a query or its second takes at most b // 2. So the forward trie is traversed by
+    automata that allow no more than that in the first half, the backward one by automata that allow no more in the
+    second; each leaves the dense upper levels with few states, and together they miss nothing.
+    """
+
     def __init__(self, words: list[str]):
         self.words = sorted(set(words))
+        self.ahead = _Side(self.words)
+        back = [w[::-1] for w in self.words]
+        self.back = _Side(back)
+        at = {w: i for i, w in enumerate(self.words)}
+        self.of_back = np.array([at[w[::-1]] for w in self.back.words], int)
+
+    def near(self, queries: list[str], bound: np.ndarray, chunk: int = 4096):
+        """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query; a swap of neighbours is one edit."""
+        empty = np.zeros(0, np.int64)
+        if not self.words or not queries:
+            return empty, empty, empty
+        parts = []
+        for at in range(0, len(queries), chunk):
+            some, b = queries[at : at + chunk], np.asarray(bound[at : at + chunk])
+            half = np.array([len(q) // 2 for q in some])
+            size = np.array([len(q) for q in some])
+            q, w, d = self.ahead.traverse(some, b, half)
+            parts.append((q + at, w, d))
+            q, w, d = self.back.traverse([x[::-1] for x in some], b, size - half)
+            parts.append((q + at, self.of_back[w] if len(w) else w, d))
+        q, w, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((d, w, q))
+        q, w, d = q[order], w[order], d[order]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (w[1:] != w[:-1])
+        return q[first], w[first], d[first]
+
+
+class _Side:
+    def __init__(self, words: list[str]):
+        self.words = sorted(words)
         n = len(self.words)
         size = np.array([len(w) for w in self.words], int)
         width = int(size.max()) if n else 0
@@ -38,17 +76,13 @@ class Trie:
             opens[first] = 1
             of, nodes = np.cumsum(opens) - 1, len(first)
 
-    def near(self, queries: list[str], bound: np.ndarray, chunk: int = 1024):
-        """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query; a swap of neighbours is one edit."""
-        out = [], [], []
-        for at in range(0, len(queries), chunk):
-            self._near(queries[at : at + chunk], bound[at : at + chunk], at, out)
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return cat(out[0]), cat(out[1]), cat(out[2])
+    def traverse(self, queries: list[str], bound: np.ndarray, half: np.ndarray, k: int = 2):
+        """Arrays (query, word, distance); alignments with more than bound // 2 edits before position half[query] are given up."""
+        out: tuple[list, list, list] = [], [], []
+        self._traverse(queries, bound, half, k, out)
+        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
 
-    def _near(self, queries, bound, base, out, k=2):
-        if not self.words or not queries:
-            return
+    def _traverse(self, queries, bound, half, k, out):
         m = np.array([len(q) for q in queries])
         # Column j - 1 of the padded matrix, shifted by k + 1, is character j of the query; -1 never matches.
         q = np.full((len(queries), max(int(m.max()), self.depth) + 3 * k + 4), -1, np.int32)
@@ -58,8 +92,9 @@ class Trie:
         qi = np.arange(len(queries))
         node = np.zeros(len(queries), np.int64)
         band = np.full((2 * k + 1, len(queries)), big, np.int8)
+        early = bound // 2
         for o in range(k, 2 * k + 1):
-            band[o] = o - k
+            band[o] = np.where((o - k < half) & (o - k > early), big, o - k)
         band[np.arange(2 * k + 1)[:, None] - k > m[None, :]] = big
         before, last = np.full_like(band, big), np.zeros(len(queries), np.int32)  # the row before and the character between
         for t in range(self.depth):
@@ -72,7 +107,7 @@ class Trie:
             qi, old, old2, last = qi[rep], band[:, rep], before[:, rep], last[rep]
             c = self.char[t][node]
             band = np.full_like(old, big)
-            mq = m[qi]
+            mq, hq, eq = m[qi], half[qi], early[qi]
             for o in range(2 * k + 1):
                 j = t + 1 - k + o
                 if j < 0:
@@ -84,7 +119,7 @@ class Trie:
                     best = np.minimum(best, band[o - 1] + 1)
                 if j > 1 and t:
                     best = np.where((c == q[qi, j + k - 1]) & (last == q[qi, j + k]), np.minimum(best, old2[o] + 1), best)
-                band[o] = np.where(j <= mq, np.minimum(best, big), big)
+                band[o] = np.where((j <= mq) & ((j >= hq) | (best <= eq)), np.minimum(best, big), big)
             live = band.min(0) <= bound[qi]
             qi, node, band, mq, before, last = qi[live], node[live], band[:, live], mq[live], old[:, live], c[live]
             w = self.word[t][node]
@@ -94,6 +129,6 @@ class Trie:
                 e = np.flatnonzero(end)
                 d = band[o[e], e]
                 ok = d <= bound[qi[e]]
-                out[0].append(qi[e][ok] + base)
+                out[0].append(qi[e][ok])
                 out[1].append(w[e][ok])
                 out[2].append(d[ok].astype(np.int64))
