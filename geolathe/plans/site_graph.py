@@ -8,7 +8,9 @@ from geolathe.functions import geom
 from geolathe.operators import access as A
 from geolathe.operators import graph as G
 from geolathe.operators import hexsummary as H
+from geolathe.operators import reach_shapes as M
 from geolathe.operators import spatial as S
+from geolathe.operators import street_edits as E
 from geolathe.plans.base import STREETS, streets
 from geolathe.session import table
 
@@ -279,3 +281,81 @@ def gr5_what_if(spark, d):
     old = G.nearest_source(e, spark.createDataFrame([(1, 101), (2, 777)], "source bigint, node bigint"), 900.0)
     new = G.nearest_source(e, spark.createDataFrame([(3, 410)], "source bigint, node bigint"), 900.0)
     return A.what_if(old, new).select("node", "before", "after")
+
+
+_XY = lambda c: ((F.pmod(c, F.lit(50)) * 100.0).alias("x"), (F.floor(F.col(c) / 50) * 100.0).alias("y"))
+
+
+def _reach_xy(spark, d):
+    """Junctions reached within 400 m, the facility's own, and the ends of streets walked in part."""
+    r = gr4_reach(spark, d)
+    e = _net(spark, d)
+    both = e.select("u", "v", "w", "ux", "uy", "vx", "vy").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.col("ux").alias("vx"), F.col("uy").alias("vy")))
+    return r.select("source", *_XY("node")).unionByName(M.partly_walked(r, both, 400.0))
+
+
+@query()
+def m11_concave_hulls(spark, d):
+    """Walking area of each facility as a concave hull."""
+    return M.reach_polygons(_reach_xy(spark, d), ["source"]).select("source", F.size("ring").alias("corners"), "area_ha")
+
+
+@query()
+def m11_convex_hulls(spark, d):
+    return M.reach_polygons(_reach_xy(spark, d), ["source"], "convex").select("source", F.size("ring").alias("corners"), "area_ha")
+
+
+@query()
+def gr14_service_areas(spark, d):
+    """Places (customers) inside each facility's widest area."""
+    a = M.reach_polygons(_reach_xy(spark, d), ["source"], "convex").select("source", F.array("ring").alias("geom"))
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("id"), (k * 7919 % 5000 + 0.25).alias("x"), (k * 104729 % 4000 + 0.25).alias("y"))
+    return S.count_within(a, p, "source", "captured")
+
+
+@query(f"""WITH {STREETS}, n AS (SELECT DISTINCT u AS node, ux AS x, uy AS y FROM streets UNION SELECT v, vx, vy FROM streets), c AS (SELECT c_custkey AS cell, c_custkey * 7919 % 5000 + 0.25 AS x, c_custkey * 104729 % 4000 + 0.25 AS y FROM customer)
+    SELECT c.cell, round(min(sqrt((c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y))), 4) AS dist FROM c, n GROUP BY 1""")
+def m12_nearest_cells(spark, d):
+    """Land divided between junctions: each cell's nearest one (the distance, as owners tie)."""
+    e = _net(spark, d)
+    n = e.select(F.col("u").alias("owner"), F.col("ux").alias("x"), F.col("uy").alias("y")).union(e.select("v", "vx", "vy")).distinct()
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("cell"), (k * 7919 % 5000 + 0.25).alias("cx"), (k * 104729 % 4000 + 0.25).alias("cy"))
+    return M.nearest_cells(n, c, 100.0).select("cell", F.round("dist", 4).alias("dist"))
+
+
+def _sketch(spark, d):
+    """New streets: a diagonal from near every 40th junction."""
+    s = streets(spark, d).where("id % 80 = 1").select("id", "ux", "uy")
+    p = lambda a, b: F.struct((F.col("ux") + a).alias("x"), (F.col("uy") + b).alias("y"))
+    return s.select("id", F.array(p(3.0, 2.0), p(152.0, 97.0)).alias("geom"))
+
+
+def _net_tables(spark, d):
+    e = _net(spark, d)
+    n = e.select(F.col("u").alias("node"), F.col("ux").alias("x"), F.col("uy").alias("y")).union(e.select("v", "vx", "vy")).distinct()
+    return n, e.select("id", "u", "v", "w", F.col("ux").alias("ax"), F.col("uy").alias("ay"), F.col("vx").alias("bx"), F.col("vy").alias("by"))
+
+
+@query()
+def j8_snapped_ends(spark, d):
+    """Where the ends of sketched streets go: junction, street, other sketch or nowhere."""
+    n, e = _net_tables(spark, d)
+    return E.snapped_ends(_sketch(spark, d), n, e, 5.0)
+
+
+@query()
+def j8_joined(spark, d):
+    """The network with the sketches joined in."""
+    n, e = _net_tables(spark, d)
+    return E.joined(n, e, _sketch(spark, d))[1].select("id", "seq", "u", "v", F.round("w", 3).alias("w"), "source", "key")
+
+
+@query(f"WITH {STREETS}, {FAC}, n AS (SELECT DISTINCT u AS node FROM arcs), g AS (SELECT c_custkey AS cell, c_custkey * 31 % (SELECT max(p_partkey) FROM part) AS node FROM customer), f AS (SELECT node, min(source) AS source FROM fac GROUP BY 1) SELECT g.cell, f.source, CASE WHEN f.source IS NULL THEN 'inf'::DOUBLE ELSE 0.0 END AS minutes FROM g LEFT JOIN f USING (node)")
+def j10_lookup(spark, d):
+    """Times at each cell's junction; not reached is infinite; of facilities at one junction the first wins."""
+    top = table(spark, d, "part").agg(F.max("p_partkey").alias("top"))
+    g = table(spark, d, "customer").crossJoin(F.broadcast(top)).select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") * 31 % F.col("top")).alias("node"))
+    f = _facilities(spark, d).groupBy("node").agg(F.min("source").alias("source")).withColumn("sec", F.lit(0.0))
+    return g.join(f, "node", "left").select("cell", "source", A.minutes(g, "sec").alias("minutes"))

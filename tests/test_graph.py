@@ -188,3 +188,39 @@ def test_access(spark):
     assert (r["pct_within"], r["median_min"]) == (75.0, 4.0)
     gaps = spark.createDataFrame([(5.0, 5.0), (20.0, 5.0), (5.0, math.inf), (None, None)], "a double, b double").select(A.gap_class(F.col("a"), F.col("b"), 10).alias("g"))
     assert [r["g"] for r in gaps.collect()] == ["both", "second_only", "first_only", "none"]
+
+
+def test_concave_hull(spark):
+    from geolathe.operators.reach_shapes import concave, delaunay, reach_polygons
+
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0, 100, (60, 2))
+    t = delaunay(p)
+    area = np.abs((p[t[:, 1], 0] - p[t[:, 0], 0]) * (p[t[:, 2], 1] - p[t[:, 0], 1]) - (p[t[:, 1], 1] - p[t[:, 0], 1]) * (p[t[:, 2], 0] - p[t[:, 0], 0])).sum() / 2
+    from geolathe.operators.buildings import _area, hull
+
+    assert area == pytest.approx(_area(hull(p)), rel=1e-3)
+    # An L of points: the concave hull leaves most of the empty corner out.
+    ell = np.array([(x, y) for x in range(0, 101, 10) for y in range(0, 101, 10) if x <= 30 or y <= 30], float) + rng.uniform(-1, 1, (77 - 0, 2))[: sum(1 for x in range(0, 101, 10) for y in range(0, 101, 10) if x <= 30 or y <= 30)]
+    assert _area(concave(ell)) < 0.85 * _area(hull(ell))
+    df = spark.createDataFrame([(1, 0.0, 0.0), (1, 100.0, 0.0), (1, 0.0, 100.0), (2, 0.0, 0.0), (2, 1.0, 1.0)], "g bigint, x double, y double")
+    assert [(r["g"], r["area_ha"]) for r in reach_polygons(df, ["g"], "convex").collect()] == [(1, 0.5)]
+
+
+def test_sketches_join_the_network(spark):
+    from geolathe.operators.street_edits import joined, snapped_ends, street_count
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 200.0, 0.0), (3, 0.0, 200.0), (4, 200.0, 200.0)], "node bigint, x double, y double")
+    e = spark.createDataFrame([(0, 1, 2, 200.0, 0.0, 0.0, 200.0, 0.0), (1, 3, 4, 200.0, 0.0, 200.0, 200.0, 200.0), (2, 1, 3, 200.0, 0.0, 0.0, 0.0, 200.0)], "id bigint, u bigint, v bigint, w double, ax double, ay double, bx double, by double")
+    sketch = spark.createDataFrame([(0, [(100.0, 2.0), (100.0, 198.0)])], LINE)
+    ends = {r["which"]: r for r in snapped_ends(sketch, nodes, e, 5.0).collect()}
+    assert ends["start"]["target"] == "street" and (ends["start"]["x"], ends["start"]["y"], ends["start"]["moved_m"]) == (100.0, 0.0, 2.0)
+    n, out = joined(nodes, e, sketch)
+    assert n.count() == 6 and sorted(r["node"] for r in n.collect())[:2] == [-2, -1]
+    rows = out.collect()
+    assert len(rows) == 6 and sorted(r["w"] for r in rows if r["source"] == "osm") == [100.0] * 4 + [200.0] and [r["w"] for r in rows if r["source"] == "added"] == [200.0]
+    deg = {r["node"]: r["street_count"] for r in street_count(out).collect()}
+    assert deg[-1] == deg[-2] == 3
+    # Near a junction: no new node, one more edge.
+    n, out = joined(nodes, e, spark.createDataFrame([(0, [(198.0, 1.0), (199.0, 199.0)])], LINE))
+    assert n.count() == 4 and out.count() == 4
