@@ -335,40 +335,51 @@ def kinds_short(a: Name, b: Name) -> bool:
 LONG = 8  # letters from which a word may be two run together, as in `same`
 
 
-def shard_links(left: list[Name], right: list[Name] | None, lex: Lexicon, anchor: str = "") -> list[tuple[int, int]]:
-    """Index pairs (left, right) of names that are spellings of one; right None: left against itself, each pair once.
+def forest_links(groups: list[tuple[str, list[Name], list[Name] | None]], lex: Lexicon) -> list[tuple[int, int, int]]:
+    """(group, left, right) of names that are spellings of one. groups: (anchor, left, right); right None: left against itself, each pair once.
 
-    The words of one side beside the anchor make a trie that those of the other traverse; a second trie of the long words
-    is traversed by the other side's neighbouring words run together.
+    The words of one side beside the anchor make the tries of all groups, those of the other traverse them; a second forest
+    of the long words is traversed by the other side's neighbouring words run together.
     """
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, int]] = set()
 
-    def meet(asking: list[Name], held: list[Name], pair) -> None:
-        for keys, least in ((lambda n: _keys(n, anchor), 0), (lambda n: n.glued, LONG)):
+    def meet(flip: bool) -> None:
+        for glued, least in ((False, 0), (True, LONG)):
             where, asks = defaultdict(list), defaultdict(list)
-            for j, n in enumerate(held):
-                for w in _keys(n, anchor):
-                    if len(w) >= least:
-                        where[w].append(j)
-            if not where:
+            for g, (anchor, left, right) in enumerate(groups):
+                if flip and right is None:
+                    continue
+                asking, held = (right, left) if flip else (left, left if right is None else right)
+                for j, n in enumerate(held):
+                    for w in _keys(n, anchor):
+                        if len(w) >= least:
+                            where[g, w].append(j)
+                for i, n in enumerate(asking):
+                    for w in n.glued if glued else _keys(n, anchor):
+                        asks[g, w].append(i)
+            if not where or not asks:
                 continue
-            for i, n in enumerate(asking):
-                for w in keys(n):
-                    asks[w].append(i)
-            trie = Trie(list(where))
+            trie = Trie([w for _, w in where], [g for g, _ in where])
             queries = sorted(asks)
-            q, w, _ = trie.near(queries, np.array([allowed(x) for x in queries], int))
+            q, w, _ = trie.near([x for _, x in queries], np.array([allowed(x) for _, x in queries], int), [g for g, _ in queries])
             for a, b in zip(q.tolist(), w.tolist()):
+                g = queries[a][0]
+                alone = groups[g][2] is None
                 for i in asks[queries[a]]:
-                    for j in where[trie.words[b]]:
-                        pair(i, j)
+                    for j in where[trie.items[b]]:
+                        if alone:
+                            if i != j:
+                                seen.add((g, min(i, j), max(i, j)))
+                        else:
+                            seen.add((g, j, i) if flip else (g, i, j))
+
+    meet(False)
+    meet(True)
+    return [(g, i, j) for g, i, j in sorted(seen) if same(groups[g][1][i], (groups[g][1] if groups[g][2] is None else groups[g][2])[j], lex)]
 
-    if right is None:
-        meet(left, left, lambda i, j: seen.add((i, j) if i < j else (j, i)) if i != j else None)
-        return [p for p in sorted(seen) if same(left[p[0]], left[p[1]], lex)]
-    meet(left, right, lambda i, j: seen.add((i, j)))
-    meet(right, left, lambda i, j: seen.add((j, i)))
-    return [p for p in sorted(seen) if same(left[p[0]], right[p[1]], lex)]
+
+def shard_links(left: list[Name], right: list[Name] | None, lex: Lexicon, anchor: str = "") -> list[tuple[int, int]]:
+    return [(i, j) for _, i, j in forest_links([(anchor, left, right)], lex)]
 
 
 def _keys(n: Name, anchor: str) -> list[str]:
@@ -440,19 +451,29 @@ def variants(places: DataFrame) -> DataFrame:
     full = routed.groupBy("site", "shard").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("site", "shard", F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
     cut = routed.join(full, ["site", "shard"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     cut = cut.withColumn("c", F.pmod(F.xxhash64("look"), F.col("k")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cut.select("site", "shard", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "look", "name")
+    cells = cut.select("site", "shard", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "k", "look", "name")
+    # Shards that are not full share tasks, about CHUNK names in each.
+    tasks = max(1, -(-routed.count() // CHUNK))
+    alone = F.lit(tasks) + F.pmod(F.xxhash64("site", "shard", "i", "j"), F.lit(1 << 40))
+    cells = cells.withColumn("task", F.when(F.col("k") == 1, F.pmod(F.xxhash64("site", "shard"), F.lit(tasks))).otherwise(alone)).drop("k")
 
     def link(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        anchor, site = t.column("shard")[0].as_py(), t.column("site")[0].as_py()
-        rows = sorted(zip(t.column("look").to_pylist(), t.column("name").to_pylist(), t.column("c").to_pylist()))
-        left = [(k, Name(n, lex)) for k, n, c in rows if c == i]
-        right = [(k, Name(n, lex)) for k, n, c in rows if c == j]
-        got = shard_links([n for _, n in left], None if i == j else [n for _, n in right], lex, anchor)
-        ends = [(left[a][0], right[b][0]) for a, b in got]
-        return pa.table({"site": pa.array([site] * len(ends), pa.string()), "a": pa.array([min(e) for e in ends], pa.string()), "b": pa.array([max(e) for e in ends], pa.string())})
-
-    links = cells.groupBy("site", "shard", "i", "j").applyInArrow(link, "site string, a string, b string").distinct()
+        by: dict[tuple, list] = defaultdict(list)
+        for site, shard, i, j, c, look, name in zip(*(t.column(x).to_pylist() for x in ("site", "shard", "i", "j", "c", "look", "name"))):
+            by[site, shard, i, j].append((look, name, c))
+        keys, groups, looks = sorted(by), [], []
+        for site, shard, i, j in keys:
+            rows = sorted(by[site, shard, i, j])
+            left, right = [r for r in rows if r[2] == i], None if i == j else [r for r in rows if r[2] == j]
+            groups.append((shard, [Name(n, lex) for _, n, _ in left], right and [Name(n, lex) for _, n, _ in right]))
+            looks.append((left, left if right is None else right))
+        # An empty chunk meets nothing.
+        groups = [(s, l, r) if r != [] else (s, [], None) for s, l, r in groups]
+        ends = [(keys[g][0], looks[g][0][a][0], looks[g][1][b][0]) for g, a, b in forest_links(groups, lex)]
+        cols = [[e[0] for e in ends], [min(e[1:]) for e in ends], [max(e[1:]) for e in ends]]
+        return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("site", "a", "b"), cols)})
+
+    links = cells.groupBy("task").applyInArrow(link, "site string, a string, b string").distinct()
     links = materialize(links, "links")
     families = closed(links)
     a, b = families.withColumnRenamed("look", "la"), families.withColumnRenamed("look", "lb")

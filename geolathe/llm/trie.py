@@ -15,29 +15,34 @@ class Trie:
     Of at most b edits, the first half of a query or its second takes at most b // 2. So the forward trie is traversed by
     automata that allow no more than that in the first half, the backward one by automata that allow no more in the
     second; each leaves the dense upper levels with few states, and together they miss nothing.
+
+    Words may stand in shards, each with a root of its own: a query meets the words of its shard only, and all shards are
+    traversed at once.
     """
 
-    def __init__(self, words: list[str]):
-        self.words = sorted(set(words))
-        self.ahead = _Side(self.words)
-        back = [w[::-1] for w in self.words]
+    def __init__(self, words: list[str], shards: list[int] | None = None):
+        items = sorted(set(zip(shards if shards is not None else [0] * len(words), words)))
+        self.items, self.words = items, [w for _, w in items]
+        self.ahead = _Side(items)
+        back = sorted((s, w[::-1]) for s, w in items)
         self.back = _Side(back)
-        at = {w: i for i, w in enumerate(self.words)}
-        self.of_back = np.array([at[w[::-1]] for w in self.back.words], int)
+        at = {x: i for i, x in enumerate(items)}
+        self.of_back = np.array([at[s, w[::-1]] for s, w in back], int)
 
-    def near(self, queries: list[str], bound: np.ndarray, chunk: int = 4096):
+    def near(self, queries: list[str], bound: np.ndarray, shards: list[int] | None = None, chunk: int = 4096):
         """Arrays (query, word, distance) of all words within bound[query] (0, 1 or 2) edits of a query; a swap of neighbours is one edit."""
         empty = np.zeros(0, np.int64)
         if not self.words or not queries:
             return empty, empty, empty
+        shards = np.asarray(shards if shards is not None else [0] * len(queries))
         parts = []
         for at in range(0, len(queries), chunk):
-            some, b = queries[at : at + chunk], np.asarray(bound[at : at + chunk])
+            some, b, g = queries[at : at + chunk], np.asarray(bound[at : at + chunk]), shards[at : at + chunk]
             half = np.array([len(q) // 2 for q in some])
             size = np.array([len(q) for q in some])
-            q, w, d = self.ahead.traverse(some, b, half)
+            q, w, d = self.ahead.traverse(some, b, half, g)
             parts.append((q + at, w, d))
-            q, w, d = self.back.traverse([x[::-1] for x in some], b, size - half)
+            q, w, d = self.back.traverse([x[::-1] for x in some], b, size - half, g)
             parts.append((q + at, self.of_back[w] if len(w) else w, d))
         q, w, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((d, w, q))
@@ -48,14 +53,15 @@ class Trie:
 
 
 class _Side:
-    def __init__(self, words: list[str]):
-        self.words = sorted(words)
-        n = len(self.words)
-        size = np.array([len(w) for w in self.words], int)
+    def __init__(self, items: list[tuple[int, str]]):
+        n = len(items)
+        # Column 0 is the shard, so the nodes of depth 0 are the shards' roots.
+        size = np.array([len(w) + 1 for _, w in items], int)
         width = int(size.max()) if n else 0
         code = np.zeros((n, width), np.int32)
-        for i, w in enumerate(self.words):
-            code[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
+        for i, (g, w) in enumerate(items):
+            code[i, 0] = g + 1
+            code[i, 1 : len(w) + 1] = np.frombuffer(w.encode("utf-32-le"), np.int32)
         # Nodes depth by depth: a node is a run of sorted words with one prefix. A word opens a node where it shares less
         # with the word before it.
         shared = np.zeros(n, int)
@@ -76,36 +82,39 @@ class _Side:
             opens[first] = 1
             of, nodes = np.cumsum(opens) - 1, len(first)
 
-    def traverse(self, queries: list[str], bound: np.ndarray, half: np.ndarray, k: int = 2):
+    def traverse(self, queries: list[str], bound: np.ndarray, half: np.ndarray, shards: np.ndarray, k: int = 2):
         """Arrays (query, word, distance); alignments with more than bound // 2 edits before position half[query] are given up."""
         out: tuple[list, list, list] = [], [], []
-        self._traverse(queries, bound, half, k, out)
+        self._traverse(queries, bound, half, shards, k, out)
         return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
 
-    def _traverse(self, queries, bound, half, k, out):
+    def _traverse(self, queries, bound, half, shards, k, out):
         m = np.array([len(q) for q in queries])
         # Column j - 1 of the padded matrix, shifted by k + 1, is character j of the query; -1 never matches.
         q = np.full((len(queries), max(int(m.max()), self.depth) + 3 * k + 4), -1, np.int32)
         for i, w in enumerate(queries):
             q[i, k + 1 : k + 1 + len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
         big = k + 1
+        roots = self.char[0]
         qi = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
+        node = np.minimum(np.searchsorted(roots, shards + 1), len(roots) - 1)
         band = np.full((2 * k + 1, len(queries)), big, np.int8)
         early = bound // 2
         for o in range(k, 2 * k + 1):
             band[o] = np.where((o - k < half) & (o - k > early), big, o - k)
         band[np.arange(2 * k + 1)[:, None] - k > m[None, :]] = big
-        before, last = np.full_like(band, big), np.zeros(len(queries), np.int32)  # the row before and the character between
-        for t in range(self.depth):
-            a, b = self.child_from[t][node], self.child_to[t][node]
+        here = roots[node] == shards + 1
+        qi, node, band = qi[here], node[here], band[:, here]
+        before, last = np.full_like(band, big), np.zeros(len(qi), np.int32)  # the row before and the character between
+        for t in range(self.depth - 1):
+            a, b = self.child_from[t + 1][node], self.child_to[t + 1][node]
             n = b - a
             rep = np.repeat(np.arange(len(qi)), n)
             if not len(rep):
                 return
             node = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
             qi, old, old2, last = qi[rep], band[:, rep], before[:, rep], last[rep]
-            c = self.char[t][node]
+            c = self.char[t + 1][node]
             band = np.full_like(old, big)
             mq, hq, eq = m[qi], half[qi], early[qi]
             for o in range(2 * k + 1):
@@ -122,7 +131,7 @@ class _Side:
                 band[o] = np.where((j <= mq) & ((j >= hq) | (best <= eq)), np.minimum(best, big), big)
             live = band.min(0) <= bound[qi]
             qi, node, band, mq, before, last = qi[live], node[live], band[:, live], mq[live], old[:, live], c[live]
-            w = self.word[t][node]
+            w = self.word[t + 1][node]
             o = mq - (t + 1) + k
             end = (w >= 0) & (o >= 0) & (o <= 2 * k)
             if end.any():
