@@ -105,15 +105,18 @@ def reach_polygons(reached: DataFrame, keys: list[str], shape: str = "concave")
     """
     ship(reached.sparkSession)
 
+    def none(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[keys].iloc[:0].assign(ring=pd.Series([], dtype=object), area_ha=pd.Series([], dtype=float))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xy = pdf[["x", "y"]].to_numpy(float)
         r = concave(xy) if shape == "concave" else hull(xy)
         if r is None or len(r) < 3:
-            return pd.DataFrame({**{k: [] for k in keys}, "ring": [], "area_ha": []})
+            return none(pdf)
         s = r - r[0]
         area = abs(np.dot(s[:, 0], np.roll(s[:, 1], -1)) - np.dot(s[:, 1], np.roll(s[:, 0], -1))) / 2
         if area <= 0:
-            return pd.DataFrame({**{k: [] for k in keys}, "ring": [], "area_ha": []})
+            return none(pdf)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ring": [[{"x": float(x), "y": float(y)} for x, y in r]], "area_ha": [round(area / 10_000, 4)]})
 
     kinds = dict(reached.dtypes)
