@@ -39,7 +39,9 @@ def points_to_hex(points: DataFrame, grid: DataFrame, edge: float, **aggs: tuple
 def polygons_to_hex(polygons: DataFrame, grid: DataFrame, edge: float, **aggs: tuple[str, str]) -> DataFrame:
     """polygons: geom and the summarised columns; each goes whole to the cell of its centroid."""
     c = geom.ring_centroid(F.get("geom", F.lit(0)))
-    return points_to_hex(polygons.withColumns({"x": c["x"], "y": c["y"]}), grid, edge, **aggs)
+    # The one-row explode keeps the optimizer from copying the centroid into every use of x and y.
+    at = polygons.withColumn("_c", F.explode(F.array(c)))
+    return points_to_hex(at.withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_c"), grid, edge, **aggs)
 
 
 def clip_to_hex(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, edge: float) -> Column:
