@@ -2,9 +2,11 @@
 
 Method: words are learned from the corpus first. A word that stands in many different names is common; a common word whose names
 crowd into few categories tells the kind of business, any other common word is a likely part of many proper names and anchors
-a shard. The distinct names of a site are sharded by the anchors they hold (exactly, within two edits, or run together
-with another word). In each shard a trie of the words is traversed with the Levenshtein automata of the same words; names
-tied by a neighbouring word are then held against each other word by word, in any order.
+a shard. The distinct words of a site meet by deletion keys: words within two edits are equal once two letters at most are
+taken from each. Names of a site that share two near words meet so, whatever the words are. For words run together the
+names are sharded by the anchors they hold (exactly, within two edits, or run together with another word); in each shard a
+trie of the long words is traversed with the Levenshtein automata of two words in one. Names that meet are held against
+each other word by word, in any order.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -276,7 +279,7 @@ def same(a: Name, b: Name, lex: Lexicon) -> bool:
             d = distance(x, y, k)
             if d <= k:
                 pairs.append((d, abs(i - j), i, j))
-    left_a, left_b, strong, total, rare = set(range(len(a.rest))), set(range(len(b.rest))), 0, 0, 0
+    left_a, left_b, strong, total, rare, apart = set(range(len(a.rest))), set(range(len(b.rest))), 0, 0, 0, False
     for d, _, i, j in sorted(pairs):
         if i in left_a and j in left_b:
             left_a.discard(i)
@@ -285,6 +288,7 @@ def same(a: Name, b: Name, lex: Lexicon) -> bool:
                 strong += 1
                 total += d
                 rare += a.rest[i] not in lex.anchors or b.rest[j] not in lex.anchors
+                apart |= d > 0 and a.rest[i] in lex.anchors and b.rest[j] in lex.anchors
     # Words run together: one word of a name is two of the other, in either order.
     for one, two, li, lj in ((a, b, left_a, left_b), (b, a, left_b, left_a)):
         for i in sorted(li):
@@ -318,7 +322,8 @@ def same(a: Name, b: Name, lex: Lexicon) -> bool:
         rb = "".join(w for w in b.words if w in lex.kinds or w in [b.rest[j] for j in left_b])
         if not (a.kinds or b.kinds) or min(len(ra), len(rb)) < 4 or distance(ra, rb, 2) > (1 if max(len(ra), len(rb)) < 6 else 2):
             return False
-    if strong < 2 or total > 4:
+    # Two common words that differ are rather two words, so the other letters must not differ much.
+    if strong < 2 or total > (2 if apart else 4):
         return False
     # Little evidence, as both words are common or many letters differ, asks for the kind of business to agree.
     return bool(rare and total <= 2) or bool(set(a.kinds) & set(b.kinds)) or (total <= 2 and (not (a.kinds and b.kinds) or kinds_short(a, b)))
@@ -336,42 +341,41 @@ LONG = 8  # letters from which a word may be two run together, as in `same`
 
 
 def forest_links(groups: list[tuple[str, list[Name], list[Name] | None]], lex: Lexicon) -> list[tuple[int, int, int]]:
-    """(group, left, right) of names that are spellings of one. groups: (anchor, left, right); right None: left against itself, each pair once.
+    """(group, left, right) of names that are spellings of one and of which one runs words together. groups: (anchor, left, right); right None: left against itself, each pair once.
 
-    The words of one side beside the anchor make the tries of all groups, those of the other traverse them; a second forest
-    of the long words is traversed by the other side's neighbouring words run together.
+    The long words of one side beside the anchor make the tries of all groups; the other side's neighbouring words run
+    together traverse them.
     """
     seen: set[tuple[int, int, int]] = set()
 
     def meet(flip: bool) -> None:
-        for glued, least in ((False, 0), (True, LONG)):
-            where, asks = defaultdict(list), defaultdict(list)
-            for g, (anchor, left, right) in enumerate(groups):
-                if flip and right is None:
-                    continue
-                asking, held = (right, left) if flip else (left, left if right is None else right)
-                for j, n in enumerate(held):
-                    for w in _keys(n, anchor):
-                        if len(w) >= least:
-                            where[g, w].append(j)
-                for i, n in enumerate(asking):
-                    for w in n.glued if glued else _keys(n, anchor):
-                        asks[g, w].append(i)
-            if not where or not asks:
+        where, asks = defaultdict(list), defaultdict(list)
+        for g, (anchor, left, right) in enumerate(groups):
+            if flip and right is None:
                 continue
-            trie = Trie([w for _, w in where], [g for g, _ in where])
-            queries = sorted(asks)
-            q, w, _ = trie.near([x for _, x in queries], np.array([allowed(x) for _, x in queries], int), [g for g, _ in queries])
-            for a, b in zip(q.tolist(), w.tolist()):
-                g = queries[a][0]
-                alone = groups[g][2] is None
-                for i in asks[queries[a]]:
-                    for j in where[trie.items[b]]:
-                        if alone:
-                            if i != j:
-                                seen.add((g, min(i, j), max(i, j)))
-                        else:
-                            seen.add((g, j, i) if flip else (g, i, j))
+            asking, held = (right, left) if flip else (left, left if right is None else right)
+            for j, n in enumerate(held):
+                for w in _keys(n, anchor):
+                    if len(w) >= LONG:
+                        where[g, w].append(j)
+            for i, n in enumerate(asking):
+                for w in n.glued:
+                    asks[g, w].append(i)
+        if not where or not asks:
+            return
+        trie = Trie([w for _, w in where], [g for g, _ in where])
+        queries = sorted(asks)
+        q, w, _ = trie.near([x for _, x in queries], np.array([allowed(x) for _, x in queries], int), [g for g, _ in queries])
+        for a, b in zip(q.tolist(), w.tolist()):
+            g = queries[a][0]
+            alone = groups[g][2] is None
+            for i in asks[queries[a]]:
+                for j in where[trie.items[b]]:
+                    if alone:
+                        if i != j:
+                            seen.add((g, min(i, j), max(i, j)))
+                    else:
+                        seen.add((g, j, i) if flip else (g, i, j))
 
     meet(False)
     meet(True)
@@ -386,10 +390,36 @@ def _keys(n: Name, anchor: str) -> list[str]:
     return [w for w in n.rest if len(w) >= 4 and w != anchor and w not in _formal]
 
 
+PREFIX = 7  # letters of a word that make its deletion keys
+
+
+def deletion_keys(words: list[str], bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays (word, key): hashes of the first PREFIX letters of a word less up to bound of them.
+
+    Words within that many edits, a swap of neighbours as one, share a key: each edit takes at most one letter from each of
+    them to leave what both hold, and the shorter part of it that lies in both beginnings is reached from each by as many deletions at most.
+    """
+    by: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (w, b) in enumerate(zip(words, bounds)):
+        by[min(len(w), PREFIX), b].append(i)
+    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for (n, b), ids in by.items():
+        code = np.frombuffer("".join(words[i][:n] for i in ids).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+        for gone in range(min(b, n) + 1):
+            for left in combinations(range(n), n - gone):
+                h = np.full(len(ids), n - gone, np.uint64)
+                for c in left:
+                    h = (h ^ code[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                at.append(np.array(ids, np.int64))
+                keys.append(h)
+    return np.concatenate(at), np.concatenate(keys).view(np.int64)
+
+
 COMMON = 0.0005  # share of all names from which a word is common; so at most (words per name) / COMMON words are
 COMMON_LEAST = 10
 TELLS_KIND = 0.4  # nats by which the categories of a word's names differ from those of all names
-CHUNK = 4000  # names of a shard that meet in one task
+CHUNK = 4000  # names of a shard, or pairs of near names, in one task
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,6 +449,74 @@ def lexicon(names: DataFrame) -> Lexicon:
     return Lexicon(kinds, {r["word"] for r in rows} - kinds - noise, noise)
 
 
+def near_names(names: DataFrame, lex: Lexicon) -> DataFrame:
+    """(site, a, b), a < b: the looks of a site whose names share two near words and that `same` links. names: site, look, name, one row per site and look."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n = [Name(x, lex) for x in t.column("name").to_pylist()]
+            some = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([t.column("site"), t.column("look"), t.column("name"), pa.array([[w for w in x.rest if len(w) >= 4] for x in n], some)], names=["site", "look", "name", "strong"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            w = t.column("word").to_pylist()
+            at, key = deletion_keys(w, [allowed(x) for x in w])
+            yield pa.RecordBatch.from_arrays([*t.take(pa.array(at)).columns, pa.array(key)], names=[*t.schema.names, "key"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ok = []
+            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
+                k = min(allowed(x), allowed(y))
+                ok.append(not (x in _formal and y in _formal) and distance(x, y, k) <= k)
+            yield t.filter(pa.array(ok, pa.bool_()))
+
+    def pairs(spread: bool):
+        """Every two words of a name as one key; spread: every two of their neighbours, own words among them."""
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                at, key = [], []
+                for i, (strong, near) in enumerate(zip(t.column("strong").to_pylist(), t.column("near").to_pylist() if spread else [None] * len(t))):
+                    beside = [{x} for x in strong]
+                    if spread:
+                        by = defaultdict(set)
+                        for e in near or ():
+                            by[e["x"]].add(e["y"])
+                        beside = [by[x] | (set() if x in _formal else {x}) for x in strong]
+                    ks = {f"{min(x, y)} {max(x, y)}" for p, q in combinations(beside, 2) for x in p for y in q}
+                    at += [i] * len(ks)
+                    key += sorted(ks)
+                s = t.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([s.column("site"), pa.array(key, pa.string()), s.column("look"), s.column("name")], names=["site", "key", "look", "name"])
+
+        return of
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            names: dict[str, Name] = {}
+            of = lambda x: names.get(x) or names.setdefault(x, Name(x, lex))
+            ok = [same(of(x), of(y), lex) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist())]
+            yield t.select(["site", "a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    n = materialize(names.select("site", "look", "name").mapInArrow(words, "site string, look string, name string, strong array<string>").where(F.size("strong") > 1), "words")
+    k = materialize(n.select("site", F.explode("strong").alias("word")).distinct().mapInArrow(keyed, "site string, word string, key bigint"), "keys")
+    x, y = k.withColumnRenamed("word", "x"), k.withColumnRenamed("word", "y")
+    near = x.join(y, ["site", "key"]).where((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 2)).select("site", "x", "y").distinct()
+    near = materialize(near.mapInArrow(within, "site string, x string, y string"), "near")
+    near = near.unionAll(near.select("site", F.col("y").alias("x"), F.col("x").alias("y")))
+    beside = n.select("site", "look", F.explode(F.array_distinct("strong")).alias("x")).join(near, ["site", "x"]).groupBy("site", "look").agg(F.collect_list(F.struct("x", "y")).alias("near"))
+    keys = "site string, key string, look string, name string"
+    a = n.join(beside, ["site", "look"], "left").mapInArrow(pairs(True), keys).withColumnsRenamed({"look": "a", "name": "na"})
+    b = n.mapInArrow(pairs(False), keys).withColumnsRenamed({"look": "b", "name": "nb"})
+    two = a.join(b, ["site", "key"]).where("a <> b").drop("key")
+    order = lambda l, r: F.when(F.col("a") < F.col("b"), F.col(l)).otherwise(F.col(r))
+    met = two.select("site", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), order("na", "nb").alias("na"), order("nb", "na").alias("nb")).distinct()
+    met = materialize(met, "met")
+    return met.repartition(max(1, -(-met.count() // CHUNK)), "site", "a", "b").mapInArrow(linked, "site string, a string, b string")
+
+
 def variants(places: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: two ids of one site whose names are spellings of the same organisation, practice or business.
 
@@ -473,8 +571,8 @@ def variants(places: DataFrame) -> DataFrame:
         cols = [[e[0] for e in ends], [min(e[1:]) for e in ends], [max(e[1:]) for e in ends]]
         return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("site", "a", "b"), cols)})
 
-    links = cells.groupBy("task").applyInArrow(link, "site string, a string, b string").distinct()
-    links = materialize(links, "links")
+    links = cells.groupBy("task").applyInArrow(link, "site string, a string, b string")
+    links = materialize(links.union(near_names(one, lex)).distinct(), "links")
     families = closed(links)
     a, b = families.withColumnRenamed("look", "la"), families.withColumnRenamed("look", "lb")
     pairs = a.join(b, ["site", "family"]).where("la < lb").select("site", "la", "lb")

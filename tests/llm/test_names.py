@@ -84,3 +84,33 @@ def test_families_in_a_site(spark, rows, monkeypatch):
 
 def test_empty(spark, rows):
     assert rows(variants(spark.createDataFrame([], P))) == []
+
+
+def test_rare_words_of_which_one_is_near_a_common_word(spark, rows):
+    # lovenel is within two edits of the common levenal, lovenels is not.
+    extra = [("a", "s", "Lovenel Kibratix", "cafe", "", ""), ("b", "s", "Lovenels Kibratix", "cafe", "", "")]
+    assert rows(variants(spark.createDataFrame(people(400) + extra, P))) == [("a", "b")]
+
+
+def test_all_pairs_of_a_site_that_share_two_near_words_meet(spark, rows):
+    r = random.Random(11)
+    syl = [c + v for c in "bdklmr" for v in "aei"]
+    word = lambda: "".join(r.choice(syl) for _ in range(r.randint(2, 4))) + r.choice(["", "n"])
+    base = [[word(), word(), *r.sample(["maria", "bob", "jo", "levenal", "zebotem", "school"], r.randint(0, 2))] for _ in range(60)]
+
+    def edited(w):
+        i = r.randrange(len(w))
+        return r.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w])
+
+    names = set()
+    for b in base:
+        names.add(" ".join(b))
+        for _ in range(4):
+            v = [edited(edited(w)) for w in b]
+            r.shuffle(v)
+            names.add(" ".join(v))
+    names = sorted(names)
+    taken = [Name(n, LEX) for n in names]
+    want = sorted(("s", names[i], names[j]) for i in range(len(names)) for j in range(i + 1, len(names)) if same(taken[i], taken[j], LEX))
+    df = spark.createDataFrame([("s", n, n) for n in names] + [("t", names[0], names[0])], "site string, look string, name string")
+    assert len(want) > 40 and rows(N.near_names(df, LEX)) == want
