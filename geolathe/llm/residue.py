@@ -11,6 +11,8 @@ all its lines. An RE2 filter over whole texts picks the documents whose sentence
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as sre_parse
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,13 +96,44 @@ QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,
 # A sentence that states a condition or a course of events; a message to the reader inside it is part of the subject.
 COURSE = re.compile(r"^\W*(?:\[?[\dOo]{1,5}\]?\.?\s+)?(?:(?:where|when(?:ever)?|while|if|as soon as|wenn|sobald|falls|lorsque|quand|si|cuando|khi|nếu|когда|если)\b|当|如果|若)", re.I)
 
-# Cheap parts of all of the above for RE2; what they miss cannot be evidence.
+
+
+def _literals(p) -> set[str] | None:
+    """Strings of which every match of a parsed pattern holds one, as long as can be; None if there are none."""
+    best, run = None, ""
+    for op, arg in [*p, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg)
+            continue
+        found = [{run.strip()}] if run.strip() else []
+        run = ""
+        if op is sre.SUBPATTERN:
+            found.append(_literals(arg[-1]))
+        elif op is sre.BRANCH:
+            parts = [_literals(x) for x in arg[1]]
+            found.append(None if None in parts else set().union(*parts))
+        elif op is sre.MAX_REPEAT and arg[0]:
+            found.append({chr(arg[2][0][1]) * arg[0]} if arg[2][0][0] is sre.LITERAL else _literals(arg[2]))
+        for f in found:
+            if f and (best is None or min(map(len, f)) > min(map(len, best))):
+                best = f
+    return best
+
+
+def _parts(patterns: list[str]) -> str:
+    out = set()
+    for p in patterns:
+        # Of a pattern with a branch as short as a letter, "n.n.", the field below says that branch.
+        out |= {x for x in _literals(sre_parse.parse(p.removeprefix(_s), re.I)) if len(x) > 1}
+    return "|".join(re.escape(x).replace("\\ ", " ").replace("'", "['’]") for x in sorted(out) if not any(y != x and y in x for y in out))
+
+
+# Cheap parts of all of the above for RE2; what they miss cannot be evidence. Openings of fields and words of filler stand here, the
+# rest is taken from the patterns; words said thrice (the one pattern with a backreference) are found by _repeats.
 FILTER = (
-    r"(?i)\{\{|\{%|[$#]\{|<%|<<|\[\[|@@|%%|%\(|__[^\s_]|&lt;|goes here|[\[【〔][^\]】〕\n]{0,60}(?:insert|enter|add|tbd|tba|tbc|todo|fill|to be|your|placeholder|einsetz|einfüg|eintrag|ausfüll|ergänz|platzhalter|introducir|complet|rellenar|indi[cq]|insér|remplir|compl|saisir|điền|nhập|chèn|bổ sung|вставить|заполнить|указать|inserir|填|输入|插入|待补)|<\s*(?:insert|enter|your|add)|<[^\s\d<>=/!][^>\s]*_"
-    r"|lorem|ipsum|adipisc|dolor |java ?script|noscript|\bscripts?\b|\bskripte?\b|脚本|tập lệnh|скрипт|cookie|browser|navigateur|navegador|trình duyệt|浏览器|traceback|exception|error|fehler|erreur|lỗi|错误|ошибк|erro |sqlstate|ora-\d|gateway|not found|forbidden|denied|unavailable|too many requests|went wrong|oops|session|sitzung|sesión|sign in again|log in again|asked for|requested|has been moved|no longer available|wait \d+|upstream|please|try again|permission|authori[sz]ed|unable to|failed to|not be (?:delivered|loaded|displayed|retrieved|opened|found)|time-?out|timed out|connection (?:refused|reset)|bad request|internal server"
-    r"|nicht (?:gefunden|geladen|angezeigt|geöffnet|abgerufen|verfügbar)|versuchen sie|zugriff|introuvable|n'existe pas|réessay|indisponible|accès|no se (?:encontr|ha|pued|pudo)|no está disponible|int[eé]nt[ae]lo|intentarlo|acceso|no encontrada|không tìm thấy|thử lại|không thể|hết hạn|từ chối|không (?:khả dụng|có sẵn|tồn tại)|xảy ra|请|無法|无法|不存在|未找到|找不到|过期|拒绝|权限|不可用|繁忙|не найдена|попробуйте|доступ|non trovata|riprova|não encontrada|novamente"
-    r"|sample (?:par|text|claim|abs|tit|desc|cont|sec|head|sent|sum|copy)|dummy|filler|placeholder|example (?:text|par|cl)|overwrite|replace this|your (?:abstract|title|text|claim|description|summary|content)|(?:text|content|abstract|description|title|claims?) (?:goes|to follow|to be added|to be inserted|comes)|blah|delete this|be (?:deleted|removed|replaced) before|blindtext|platzhalter|mustertext|beispieltext|fülltext|an dieser stelle|hier (?:steht|folgt|kommt)|(?:veröffentlichung|einreichung)|remplissage|d'exemple|factice|fictif|provisoire|avant (?:le|la|pub|dép)|ce texte|relleno|de (?:ejemplo|muestra|prueba)|antes de (?:pub|pres|la pub)|este texto|nội dung mẫu|văn bản|thay thế|占位|填充|示例|样例|будет|заполнитель|segnaposto|\btbd\b|\btba\b|todo|fixme|xxx|asdf|qwert|jkl|foo ?bar|\(\w+\.\w+:\d+\)|stack trace|nullpointer|caused by|segmentation|fatal|warning:|notice:|file \"|\d{3} gone|error:|\bgone\b"
-)
+    r"(?i)\{\{|\{%|[$#]\{|<%|<<|\[\[|@@|%%|%\(|__[^\s_]|&lt;|(?:goes|go|comes) here|[\[【〔][^\]】〕\n]{0,60}(?:insert|enter|add|tbd|tba|tbc|todo|fill|to be|your|placeholder|einsetz|einfüg|eintrag|ausfüll|ergänz|platzhalter|introducir|complet|rellenar|indi[cq]|insér|remplir|compl|saisir|điền|nhập|chèn|bổ sung|вставить|заполнить|указать|inserir|填|输入|插入|待补)|<[\s\pZ]*(?:insert|enter|your|add)|<[\s\pZ]*[\pL_][^>]*_"
+    r"|lorem|ipsum|adipisc|consectetur|eiusmod|incididunt|ullamco|nostrud|laboris|aliqua|(?:^|[^\pL])n\.?n(?:[^\pL]|$)|\([\pL\pN_.]+:\p{Nd}+\)|"
+) + _parts([p for p in [*ERRORS, *SCRIPTS, *FILLERS] if r"\1" not in p and r"at [\w$.]" not in p])
 # Lines that may read otherwise once mended: UTF-8 read as Windows-1252, ligatures, digits inside words.
 BROKEN = r"[ÃÂÄÅ][\x{80}-\x{17e}\x{192}\x{2c6}-\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|á[º»]|[åæçèéä][\x{80}-\x{bf}\x{152}-\x{178}\x{192}\x{2c6}\x{2dc}\x{2013}-\x{203a}\x{20ac}\x{2122}]|[ﬀ-ﬄ]|\p{L}[01]+\p{L}|\b[01]\p{L}{2}|\p{L}{2}[01]\b|\x{ad}|\x{200b}"
 _word = re.compile(r"[^\W\d_]+")

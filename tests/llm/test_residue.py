@@ -1,8 +1,10 @@
 """Residue: evidence in several languages, sentences that only speak about it, boilerplate and dirty rows."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from geolathe.llm.residue import evidence, line_evidence, mended, residue
+from geolathe.llm.residue import FILTER, evidence, line_evidence, mended, residue
 
 YES = [
     ("field", "This patent concerns {{inventor_list}}."), ("field", "[0003] ${abstract}"), ("field", "Ref. <filing_date goes here> / [title – to be completed]"), ("field", "1. [INSERT title HERE]"), ("field", "[hier Titel einsetzen]"), ("field", "__pub_number__"),
@@ -54,3 +56,12 @@ def test_boilerplate_is_subtracted_but_not_from_pages_of_nothing_else(spark, row
     data += [(900, foot, "s", 0, ""), (901, f"Other text.\n{foot}\nError 404: Not Found.", "s", 0, "")]
     assert rows(residue(spark.createDataFrame(data, D))) == [(900, ["script"]), (901, ["error"])]
     assert evidence(foot) == "script"
+
+
+SAMPLES = ["405 Method Not Allowed", "301 Moved Permanently", "402 Payment Required", "Undefined index", "Access to this record has been restricted.", "Access to this page is blocked.", "Le document demandé n'a pas été trouvé.", "Le document demandé n’existe pas.", "Dịch vụ hiện không hoạt động.", "访问的页面已删除。", "访问的页面已移除。", "会话已超时。", "登录已失效。", "无权访问。", "Scripting is disabled.", "Example title", "Example abstract.", "Example description", "<claims go here>", "< FIELD_NAME >", "<title>404</title>", "N.N."]
+
+
+@pytest.mark.parametrize("text", [t for _, t in YES] + SAMPLES)
+def test_filter_passes_what_is_evidence(text):
+    passes = pc.match_substring_regex(pa.array([text]), FILTER)[0].as_py()
+    assert passes or not line_evidence(text)
