@@ -104,7 +104,7 @@ def fill_buildings(buildings: DataFrame) -> DataFrame:
     A field without any known value stays NULL with a False mask. Empty tables give an empty result.
     """
     rows = fill_class(materialize(clean(buildings), "clean"))
-    rows = rows.withColumns({"cls": F.coalesce("class_filled", F.lit(UNKNOWN)), "site": F.coalesce("site", F.lit(UNKNOWN)), "no_site": F.col("site").isNull(), "lh": F.log("height"), "lf": F.log("num_floors")})
+    rows = rows.withColumns({"cls": F.coalesce("class_filled", F.lit(UNKNOWN)), "site": F.coalesce("site", F.lit(UNKNOWN)), "no_site": F.col("site").isNull(), "release": F.coalesce("release", F.lit(UNKNOWN)), "no_release": F.col("release").isNull(), "lh": F.log("height"), "lf": F.log("num_floors")})
     rows = materialize(rows.withColumn("lr", F.col("lh") - F.col("lf")), "classed")
     stats = []
     for y in ("lh", "lf", "lr"):
@@ -149,7 +149,7 @@ def fill_buildings(buildings: DataFrame) -> DataFrame:
     height = F.coalesce(F.col("height"), fit(F.round(F.exp(lh), 1), HEIGHT))
     floors = F.coalesce(F.col("num_floors"), fit(F.round(F.exp(lf)), FLOORS))
     return rows.select(
-        "id", "release", F.when(~F.col("no_site"), F.col("site")).alias("site"), F.col("class_filled").alias("class"),
+        "id", F.when(~F.col("no_release"), F.col("release")).alias("release"), F.when(~F.col("no_site"), F.col("site")).alias("site"), F.col("class_filled").alias("class"),
         height.alias("height"), floors.alias("num_floors"),
         (F.col("height").isNull() & height.isNotNull()).alias("is_height_filled"), (F.col("num_floors").isNull() & floors.isNotNull()).alias("is_num_floors_filled"), "is_class_filled",
     )

@@ -62,3 +62,10 @@ def test_nothing_known_and_empty(spark, rows):
     out = fill_buildings(spark.createDataFrame([row("a"), row(None), row("b", site=None)], S)).collect()
     assert len(out) == 3 and all(r["height"] is None and not r["is_height_filled"] for r in out)
     assert rows(filled_cases(fill_buildings(spark.createDataFrame([], S)))) == []
+
+
+def test_null_release(spark):
+    data = [row(f"k{i}", h=6.0 + i % 3, f=2.0, cls="house") for i in range(30)] + [row("x", rel="r1", h=40.0, f=13.0, cls="house"), row("x", rel=None, cls="house"), row("y", rel=None, f=2.0, cls="house")]
+    out = {(r["id"], r["release"]): r for r in fill_buildings(spark.createDataFrame(data, S)).collect()}
+    x, y = out["x", None], out["y", None]
+    assert x["is_height_filled"] and x["is_num_floors_filled"] and x["height"] > 15 and y["is_height_filled"] and 4 <= y["height"] <= 9
