@@ -98,8 +98,12 @@ COURSE = re.compile(r"^\W*(?:\[?[\dOo]{1,5}\]?\.?\s+)?(?:(?:where|when(?:ever)?|
 
 
 
+WIDE = {"claim", "claims", "abstract", "text", "title", "description", "summary", "content", "steht"}  # in lines of all kinds; another part of the pattern is taken
+
+
 def _literals(p) -> set[str] | None:
     """Strings of which every match of a parsed pattern holds one, as long as can be; None if there are none."""
+    weight = lambda f: min(1 if x in WIDE else len(x) for x in f)
     best, run = None, ""
     for op, arg in [*p, (None, None)]:
         if op is sre.LITERAL:
@@ -115,7 +119,7 @@ def _literals(p) -> set[str] | None:
         elif op is sre.MAX_REPEAT and arg[0]:
             found.append({chr(arg[2][0][1]) * arg[0]} if arg[2][0][0] is sre.LITERAL else _literals(arg[2]))
         for f in found:
-            if f and (best is None or min(map(len, f)) > min(map(len, best))):
+            if f and (best is None or weight(f) > weight(best)):
                 best = f
     return best
 
@@ -125,7 +129,9 @@ def _parts(patterns: list[str]) -> str:
     for p in patterns:
         # Of a pattern with a branch as short as a letter, "n.n.", the field below says that branch.
         out |= {x for x in _literals(sre_parse.parse(p.removeprefix(_s), re.I)) if len(x) > 1}
-    return "|".join(re.escape(x).replace("\\ ", " ").replace("'", "['’]") for x in sorted(out) if not any(y != x and y in x for y in out))
+    # Scripts stand as a word or behind java, not inside "description".
+    say = {"script": r"(?:^|[^\pL]|java ?|no)script"}
+    return "|".join(say[x] if x in say else re.escape(x).replace("\\ ", " ").replace("'", "['’]") for x in sorted(out) if not any(y != x and y in x for y in out))
 
 
 # Cheap parts of all of the above for RE2; what they miss cannot be evidence. Openings of fields and words of filler stand here, the
