@@ -218,8 +218,8 @@ def a2_hex_streets(spark, d):
 @query()
 def gr1_noded(spark, d):
     """Diagonal sketches laid over the lattice and cut at every crossing."""
-    s = streets(spark, d).where("id % 40 = 1").select("id", "geom")
-    sketch = s.select((F.col("id") + 10_000_000).alias("id"), F.array(F.struct((F.col("geom")[0]["x"] - 50).alias("x"), (F.col("geom")[0]["y"] - 30).alias("y")), F.struct((F.col("geom")[0]["x"] + 60).alias("x"), (F.col("geom")[0]["y"] + 40).alias("y"))).alias("geom"))
+    s = streets(spark, d).select("id", "geom")
+    sketch = s.where("id % 40 = 1").select((F.col("id") + 10_000_000).alias("id"), F.array(F.struct((F.col("geom")[0]["x"] - 50).alias("x"), (F.col("geom")[0]["y"] - 30).alias("y")), F.struct((F.col("geom")[0]["x"] + 60).alias("x"), (F.col("geom")[0]["y"] + 40).alias("y"))).alias("geom"))
     return G.node_lines(s.unionByName(sketch)).select("line", "seq", "ax", "ay", "bx", "by", F.round("length", 4).alias("length"))
 
 

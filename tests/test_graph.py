@@ -224,3 +224,12 @@ def test_sketches_join_the_network(spark):
     # Near a junction: no new node, one more edge.
     n, out = joined(nodes, e, spark.createDataFrame([(0, [(198.0, 1.0), (199.0, 199.0)])], LINE))
     assert n.count() == 4 and out.count() == 4
+
+
+def test_noded_holds_the_whole_lattice(spark, tmp_path):
+    from geolathe.plans.base import streets
+    from geolathe.plans.site_graph import gr1_noded
+
+    spark.createDataFrame([(k,) for k in range(1, 121)], "p_partkey bigint").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["line"] for r in gr1_noded(spark, str(tmp_path)).select("line").distinct().collect()}
+    assert {r["id"] for r in streets(spark, str(tmp_path)).select("id").collect()} <= got
