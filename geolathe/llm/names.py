@@ -459,7 +459,7 @@ def near_names(names: DataFrame, lex: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("site"), t.column("look"), t.column("name"), pa.array([[w for w in x.rest if len(w) >= 4] for x in n], some)], names=["site", "look", "name", "strong"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
             w = t.column("word").to_pylist()
             at, key = deletion_keys(w, [allowed(x) for x in w])
             yield pa.RecordBatch.from_arrays([*t.take(pa.array(at)).columns, pa.array(key)], names=[*t.schema.names, "key"])
@@ -476,7 +476,8 @@ def near_names(names: DataFrame, lex: Lexicon) -> DataFrame:
         """Every two words of a name as one key; spread: every two of their neighbours, own words among them."""
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
+            # A name has many keys, so few names make a batch.
+            for t in (b.slice(lo, 200) for b in batches for lo in range(0, len(b), 200)):
                 at, key = [], []
                 for i, (strong, near) in enumerate(zip(t.column("strong").to_pylist(), t.column("near").to_pylist() if spread else [None] * len(t))):
                     beside = [{x} for x in strong]
