@@ -1,12 +1,11 @@
 """Variant spellings of one organisation's, practice's or person's business name within a site.
 
-Method: words are learned from the corpus first. A word that stands in many different names is common; a common word whose names
-crowd into few categories tells the kind of business, any other common word is a likely part of many proper names and anchors
-a shard. The distinct words of a site meet by deletion keys: words within two edits are equal once two letters at most are
-taken from each. Names of a site that share two near words meet so, whatever the words are. For words run together the
-names are sharded by the anchors they hold (exactly, within two edits, or run together with another word); in each shard a
-trie of the long words is traversed with the Levenshtein automata of two words in one. Names that meet are held against
-each other word by word, in any order.
+Method: a trie join of the words of all names, then a check of the names word by word, in any order. The distinct words are
+sharded by length and hash; the tries of two shards are traversed together by the Levenshtein automaton and give all words
+within the allowed edits. How often words stand in names tells a misspelling from a word of its own: a word is a spelling
+of the nearest one that is far more frequent than slips are, two frequent words are two words however near, and rare words
+near each other may be one. A long word may be two run together; its beginnings and ends meet the other words in tries, too.
+Names of a site that share two words so resolved, and their numbers, meet and are held against each other.
 """
 
 from __future__ import annotations
@@ -15,15 +14,15 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolathe.llm.glyphs import TWINS, with_forms
-from geolathe.llm.trie import Trie
+from geolathe.llm.trie import allowed, near_words, run_together
 from geolathe.session import materialize, ship
 
 # Given names and what people call them.
@@ -95,10 +94,10 @@ wilhelm willi willy wim
 william bill will billy liam willy"""
 # Titles, legal forms and other words that do not tell one place from another.
 NOISE = set(
-    "dr prof professor mr mrs ms mme mlle m herr frau sr sra don dona dipl ing med dent co company ltd limited inc llc corp group gmbh ag kg ohg ug mbh sa sas sarl srl sl spa bv nv plc pty cia cie und and et y e the main old new branch hq "
+    "dr prof professor mr mrs ms mme mlle m herr frau sr sra don dona dipl ing med dent co company ltd limited inc llc corp group gmbh ag kg ohg ug mbh sa sas sarl srl sl spa bv nv plc pty cia cie und and et y e the main old new branch hq fam "
     "ong ba tien si bs ths gs tap doan cty ooo zao oao ip gruppa".split()
 )
-REMARK = re.compile(r"\([^()\d]{1,20}\)|,\s*[a-z]{2}\W*$")  # "(main)", ", de"
+REMARK = re.compile(r"\([^()\d]{1,20}\)|,\s*[a-z]{2}\W*$|(?<!\w)\d+-(?=[^\W\d])")  # "(main)", ", de", the number in "2-wheel"
 _word = re.compile(r"[^\W_]+")
 
 
@@ -163,6 +162,7 @@ def same_given(a: str, b: str) -> bool:
     return (len(a) == 1 and any(f.startswith(a) for f in _formal.get(b, ()))) or (len(b) == 1 and any(f.startswith(b) for f in _formal.get(a, ())))
 
 
+@lru_cache(1 << 16)
 def distance(a: str, b: str, bound: int = 3) -> int:
     """Edit distance with swaps of neighbours as one edit, up to bound + 1."""
     if a == b:
@@ -183,11 +183,6 @@ def distance(a: str, b: str, bound: int = 3) -> int:
     return one[-1]
 
 
-def allowed(w: str) -> int:
-    """Edits between a word and a spelling of it."""
-    return 0 if len(w) < 4 else 1 if len(w) < 6 else 2
-
-
 def short_for(a: str, b: str) -> bool:
     """Whether a may be an abbreviation of the word b: same first letter, letters of b in order, shorter."""
     if not a or not b or a[0] != b[0] or len(a) >= len(b):
@@ -197,118 +192,97 @@ def short_for(a: str, b: str) -> bool:
 
 
 class Lexicon:
-    """Common words of the corpus: those of a kind of business, and those that anchor a shard."""
-
-    def __init__(self, kinds: set[str], anchors: set[str], noise: set[str] = frozenset()):
-        self.kinds, self.anchors, self.noise = kinds, anchors, noise
-        self.trie = Trie([w for w in anchors if len(w) >= 5 and w not in _formal])
-        self.held = set(self.trie.words)
-
-    def shards(self, names: list["Name"]) -> list[set[str]]:
-        """The anchors each name holds: as they are, else within two edits, else at the start or end of a longer word; '' if none."""
-        out: list[set[str]] = []
-        ask: dict[str, list[int]] = defaultdict(list)
-        for i, n in enumerate(names):
-            has = {w for w in n.rest if w in self.held}
-            out.append(has)
-            if len(has) < 2:
-                for w in n.rest:
-                    if len(w) >= 4 and w not in self.held and w not in _formal:
-                        ask[w].append(i)
-        queries = list(ask)
-        q, w, _ = self.trie.near(queries, np.array([allowed(x) for x in queries], int))
-        fuzzy = defaultdict(set)
-        for a, b in zip(q, w):
-            fuzzy[queries[a]].add(self.trie.words[b])
-        # Words run together: each cut of a long word leaves an anchor on one side, itself up to one edit.
-        glued: dict[str, list[str]] = defaultdict(list)
-        for x in queries:
-            if len(x) >= 10:
-                for c in range(4, len(x) - 3):
-                    glued[x[:c]].append(x)
-                    glued[x[c:]].append(x)
-        parts = [x for x in glued if len(x) >= 5]
-        q, w, _ = self.trie.near(parts, np.ones(len(parts), int))
-        for a, b in zip(q, w):
-            for x in glued[parts[a]]:
-                fuzzy[x].add(self.trie.words[b])
-        for x, ids in ask.items():
-            for i in ids:
-                out[i] = out[i] | fuzzy[x]
-        return [o or {""} for o in out]
+    """Common words of the corpus: those of a kind of business, short ones that tell nothing, and others."""
 
+    def __init__(self, kinds: set[str], others: set[str] = frozenset(), noise: set[str] = frozenset()):
+        self.kinds, self.others, self.noise = kinds, others, noise
 
-class Name:
-    """A name taken apart: `rest` are the words that are neither noise nor tell the kind of business, `glued` their neighbours run together."""
-
-    __slots__ = ("words", "numbers", "kinds", "rest", "glued")
 
-    def __init__(self, name: str, lex: Lexicon):
-        words, self.numbers = words_of(name)
-        self.words = [w for w in words if w not in NOISE and w not in lex.noise] or words
-        self.kinds = [w for w in self.words if w in lex.kinds]
-        self.rest = [w for w in self.words if w not in lex.kinds]
-        strong = [w for w in self.rest if len(w) >= 4]
-        self.glued = [a + b for a, b in zip(strong, strong[1:])] + [b + a for a, b in zip(strong, strong[1:])]
+Senses = dict[str, tuple[tuple[str, ...], list[frozenset[str]]]]  # word -> words it may be a spelling of, pairs it may run together
 
 
-def _explained(u: list[str], kinds_other: list[str], kinds_own: list[str], anchors: set[str]) -> list[str]:
+class Name:
+    """A name taken apart. `senses` says what a word may stand for, where that is not itself alone: the words it is a spelling of, and pairs of words it runs together. A word that can only be the spelling of one other is read as that."""
+
+    __slots__ = ("all", "words", "numbers", "kinds", "rest", "spells", "runs")
+
+    def __init__(self, words: list[str], numbers: tuple[str, ...], lex: Lexicon, senses: Senses | None = None):
+        self.all, self.numbers = words, tuple(numbers)
+        self.words, self.kinds, self.rest, self.spells, self.runs = [], [], [], [], []
+        read = [(w, *(senses or {}).get(w, ((w,), ()))) for w in words]
+        read = [(one[0] if len(one) == 1 else w, one, two) for w, one, two in read]
+        for w, one, two in [r for r in read if r[0] not in NOISE and r[0] not in lex.noise] or read:
+            self.words.append(w)
+            if any(x in lex.kinds for x in one):
+                self.kinds.append(w)
+            else:
+                self.rest.append(w)
+                self.spells.append(frozenset(one))
+                self.runs.append(two)
+
+    def proper(self, i: int) -> bool:
+        """Whether a word of rest can tell two names apart: no short word and no given name."""
+        return len(self.rest[i]) >= 4 and not any(x in _formal for x in self.spells[i])
+
+    def keys(self) -> set[str]:
+        """Every two proper words the name may hold, with its numbers."""
+        at = [i for i in range(len(self.rest)) if self.proper(i)]
+        two = {(x, y) for k, i in enumerate(at) for j in at[k + 1 :] for x in self.spells[i] for y in self.spells[j]}
+        two |= {tuple(sorted(p)) * (2 // len(p)) for r in self.runs for p in r}
+        return {" ".join((min(p), max(p), *self.numbers)) for p in two}
+
+
+def _explained(u: list[str], other: Name, own: Name) -> list[str]:
     """Words of u that are no spelling or abbreviation of a kind of business, of the other name or their own."""
-    both = kinds_other + kinds_own
-    initials = "".join(w[0] for w in kinds_other)
+    both = other.kinds + own.kinds
+    initials = "".join(w[0] for w in other.kinds)
+    spelt = "".join(w[0] for w in other.all)  # with the words that tell nothing, in their places
+    if len(u) > 1 and any(short_for("".join(u), k) for k in other.kinds):
+        return []
     left = []
     for w in u:
-        if len(w) <= 4 and len(w) > 1 and initials and (w in initials or all(c in initials for c in w)):
+        if 1 < len(w) <= 5 and initials and (w in spelt or (len(w) <= 4 and all(c in initials for c in w))):
             continue
-        if len(w) == 1 and kinds_other and any(k.startswith(w) for k in kinds_other) and not kinds_own[:1] == kinds_other[:1]:
+        if len(w) == 1 and other.kinds and any(k.startswith(w) for k in other.kinds) and not own.kinds[:1] == other.kinds[:1]:
             continue
-        if any(distance(w, k, 2) <= allowed(k) or short_for(w, k) for k in both if len(w) > 1):
+        if any(distance(w, k, 2) <= allowed(k) or short_for(w, k) or (w[:4] == k[:4] and 4 < len(w) < len(k)) for k in both if len(w) > 1):
             continue
         left.append(w)
     return left
 
 
 def same(a: Name, b: Name, lex: Lexicon) -> bool:
-    """Whether two names are spellings of one."""
+    """Whether two names are spellings of one: equal numbers, two proper words in common, and nothing left of either but kinds of business and given names that agree."""
     if a.numbers != b.numbers:
         return False
-    pairs = []
-    for i, x in enumerate(a.rest):
-        for j, y in enumerate(b.rest):
-            k = min(allowed(x), allowed(y)) if min(len(x), len(y)) >= 4 else 0
-            d = distance(x, y, k)
-            if d <= k:
-                pairs.append((d, abs(i - j), i, j))
-    left_a, left_b, strong, total, rare, apart = set(range(len(a.rest))), set(range(len(b.rest))), 0, 0, 0, False
-    for d, _, i, j in sorted(pairs):
+    pairs = sorted((x != y, abs(i - j), i, j) for i, x in enumerate(a.rest) for j, y in enumerate(b.rest) if x == y or a.spells[i] & b.spells[j])
+    left_a, left_b, strong = set(range(len(a.rest))), set(range(len(b.rest))), 0
+    for _, _, i, j in pairs:
         if i in left_a and j in left_b:
             left_a.discard(i)
             left_b.discard(j)
-            if min(len(a.rest[i]), len(b.rest[j])) >= 4 and not (a.rest[i] in _formal and b.rest[j] in _formal):
-                strong += 1
-                total += d
-                rare += a.rest[i] not in lex.anchors or b.rest[j] not in lex.anchors
-                apart |= d > 0 and a.rest[i] in lex.anchors and b.rest[j] in lex.anchors
-    # Words run together: one word of a name is two of the other, in either order.
+            strong += a.proper(i) and b.proper(j)
+    # Words run together: one word of a name is two of the other, in either order, or of both.
     for one, two, li, lj in ((a, b, left_a, left_b), (b, a, left_b, left_a)):
         for i in sorted(li):
-            w = one.rest[i]
-            if len(w) < 8:
-                continue
-            best = None
-            for p in lj:
-                for q in lj:
-                    if p != q and abs(p - q) <= 2 and (d := distance(w, two.rest[p] + two.rest[q], 2)) <= 2 and (best is None or d < best[0]):
-                        best = (d, p, q)
-            if best:
-                li.discard(i)
-                lj.discard(best[1])
-                lj.discard(best[2])
-                strong += 2
-                total += best[0]
-                rare += 1
-    ua = _explained([a.rest[i] for i in sorted(left_a)], b.kinds, a.kinds, lex.anchors)
-    ub = _explained([b.rest[j] for j in sorted(left_b)], a.kinds, b.kinds, lex.anchors)
+            for want in one.runs[i]:
+                held = [[k for k in sorted(lj) if w in two.spells[k]] for w in want]
+                if len(held) == 1:
+                    held *= 2
+                if hit := next(((p, q) for p in held[0] for q in held[1] if p != q), None):
+                    li.discard(i)
+                    lj -= set(hit)
+                    strong += 2
+                    break
+    for i in sorted(left_a):
+        if j := next((j for j in sorted(left_b) if any(r in b.runs[j] for r in a.runs[i])), None):
+            left_a.discard(i)
+            left_b.discard(j)
+            strong += 2
+    if strong < 2:
+        return False
+    ua = _explained([a.rest[i] for i in sorted(left_a)], b, a)
+    ub = _explained([b.rest[j] for j in sorted(left_b)], a, b)
     for x in list(ua):
         for y in ub:
             if same_given(x, y):
@@ -322,200 +296,187 @@ def same(a: Name, b: Name, lex: Lexicon) -> bool:
         rb = "".join(w for w in b.words if w in lex.kinds or w in [b.rest[j] for j in left_b])
         if not (a.kinds or b.kinds) or min(len(ra), len(rb)) < 4 or distance(ra, rb, 2) > (1 if max(len(ra), len(rb)) < 6 else 2):
             return False
-    # Two common words that differ are rather two words, so the other letters must not differ much.
-    if strong < 2 or total > (2 if apart else 4):
-        return False
-    # Little evidence, as both words are common or many letters differ, asks for the kind of business to agree.
-    return bool(rare and total <= 2) or bool(set(a.kinds) & set(b.kinds)) or (total <= 2 and (not (a.kinds and b.kinds) or kinds_short(a, b)))
+    return True
 
 
-def kinds_short(a: Name, b: Name) -> bool:
-    """Whether the kind of one is an abbreviation of that of the other."""
-    for x, y in ((a.kinds, b.kinds), (b.kinds, a.kinds)):
-        if x and y and (all(any(short_for(w, v) or w == v for v in y) for w in x) or "".join(x) == "".join(w[0] for w in y)):
-            return True
-    return False
+COMMON = 0.0005  # share of all names from which a word is common; so at most (words per name) / COMMON words are
+COMMON_LEAST = 10
+TELLS_KIND = 0.4  # nats by which the categories of a word's names differ from those of all names
+OWN = 15  # names from which on a word is one of its own unless it is a slip of one far more frequent
+TIMES = 4  # a slip is so many times rarer than its word at least,
+SLIP_ONE, SLIP_TWO = 0.01, 0.001  # and of one edit, or two, at most this share of it, or SLIP_FEW names
+SLIP_FEW = {1: 4, 2: 2}
+BLOCK = 10_000  # words of one length in a shard of the tries
 
 
-LONG = 8  # letters from which a word may be two run together, as in `same`
+TEXTS = T.ArrayType(T.StringType())
 
 
-def forest_links(groups: list[tuple[str, list[Name], list[Name] | None]], lex: Lexicon) -> list[tuple[int, int, int]]:
-    """(group, left, right) of names that are spellings of one and of which one runs words together. groups: (anchor, left, right); right None: left against itself, each pair once.
+def parsed(names: DataFrame) -> DataFrame:
+    """names with the columns words and numbers of its column name."""
 
-    The long words of one side beside the anchor make the tries of all groups; the other side's neighbouring words run
-    together traverse them.
-    """
-    seen: set[tuple[int, int, int]] = set()
-
-    def meet(flip: bool) -> None:
-        where, asks = defaultdict(list), defaultdict(list)
-        for g, (anchor, left, right) in enumerate(groups):
-            if flip and right is None:
-                continue
-            asking, held = (right, left) if flip else (left, left if right is None else right)
-            for j, n in enumerate(held):
-                for w in _keys(n, anchor):
-                    if len(w) >= LONG:
-                        where[g, w].append(j)
-            for i, n in enumerate(asking):
-                for w in n.glued:
-                    asks[g, w].append(i)
-        if not where or not asks:
-            return
-        trie = Trie([w for _, w in where], [g for g, _ in where])
-        queries = sorted(asks)
-        q, w, _ = trie.near([x for _, x in queries], np.array([allowed(x) for _, x in queries], int), [g for g, _ in queries])
-        for a, b in zip(q.tolist(), w.tolist()):
-            g = queries[a][0]
-            alone = groups[g][2] is None
-            for i in asks[queries[a]]:
-                for j in where[trie.items[b]]:
-                    if alone:
-                        if i != j:
-                            seen.add((g, min(i, j), max(i, j)))
-                    else:
-                        seen.add((g, j, i) if flip else (g, i, j))
-
-    meet(False)
-    meet(True)
-    return [(g, i, j) for g, i, j in sorted(seen) if same(groups[g][1][i], (groups[g][1] if groups[g][2] is None else groups[g][2])[j], lex)]
-
-
-def shard_links(left: list[Name], right: list[Name] | None, lex: Lexicon, anchor: str = "") -> list[tuple[int, int]]:
-    return [(i, j) for _, i, j in forest_links([(anchor, left, right)], lex)]
-
-
-def _keys(n: Name, anchor: str) -> list[str]:
-    return [w for w in n.rest if len(w) >= 4 and w != anchor and w not in _formal]
-
-
-PREFIX = 7  # letters of a word that make its deletion keys
-
-
-def deletion_keys(words: list[str], bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays (word, key): hashes of the first PREFIX letters of a word less up to bound of them.
-
-    Words within that many edits, a swap of neighbours as one, share a key: each edit takes at most one letter from each of
-    them to leave what both hold, and the shorter part of it that lies in both beginnings is reached from each by as many deletions at most.
-    """
-    by: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for i, (w, b) in enumerate(zip(words, bounds)):
-        by[min(len(w), PREFIX), b].append(i)
-    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for (n, b), ids in by.items():
-        code = np.frombuffer("".join(words[i][:n] for i in ids).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
-        for gone in range(min(b, n) + 1):
-            for left in combinations(range(n), n - gone):
-                h = np.full(len(ids), n - gone, np.uint64)
-                for c in left:
-                    h = (h ^ code[:, c]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                at.append(np.array(ids, np.int64))
-                keys.append(h)
-    return np.concatenate(at), np.concatenate(keys).view(np.int64)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [words_of(n) for n in b.column("name").to_pylist()]
+            some = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([w for w, _ in both], some), pa.array([list(n) for _, n in both], some)], names=[*b.schema.names, "words", "numbers"])
 
+    return names.mapInArrow(parse, T.StructType([*names.schema, T.StructField("words", TEXTS), T.StructField("numbers", TEXTS)]))
 
-COMMON = 0.0005  # share of all names from which a word is common; so at most (words per name) / COMMON words are
-COMMON_LEAST = 10
-TELLS_KIND = 0.4  # nats by which the categories of a word's names differ from those of all names
-CHUNK = 4000  # names of a shard, or pairs of near names, in one task
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: dict[tuple[str, str | None], int] = defaultdict(int)
-        for name, cat in zip(b.column("name").to_pylist(), b.column("category").to_pylist()):
-            for w in set(words_of(name)[0]):
-                n[w, cat] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "category", "n"])
-
-
-def lexicon(names: DataFrame) -> Lexicon:
-    """Learns the common words. names: name, category, one row per distinct name. Collects the common words only, whose number is bounded by COMMON."""
-    total = names.count()
-    counts = names.mapInArrow(_word_counts, "word string, category string, n bigint").groupBy("word", "category").agg(F.sum("n").alias("n"))
-    common = max(COMMON_LEAST, COMMON * total)
-    per_word = counts.groupBy("word").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("category").isNotNull(), F.col("n"))).alias("m")).where(F.col("all") >= common)
-    base = names.where("category is not null").groupBy("category").agg(F.count("*").alias("c"))
-    with_cat = base.agg(F.sum("c").alias("cs"), F.count("*").alias("k"))
-    share = base.crossJoin(with_cat).select("category", (F.col("c") / F.col("cs")).alias("p"), "k")
-    j = counts.join(per_word, "word").join(share, "category", "left")
-    term = F.when(F.col("p").isNotNull(), F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m") / F.col("p")))
+
+def lexicon(names: DataFrame, words: DataFrame) -> Lexicon:
+    """Learns the common words. names: words, category, one row per name; words: word, n, from how many names. Collects the common words only, whose number is bounded by COMMON."""
+    total, k = names.agg(F.count("*"), F.count_distinct("category")).first()
+    common = words.where(F.col("n") >= max(COMMON_LEAST, COMMON * total)).select("word", F.col("n").alias("all"))
+    counts = names.select(F.explode(F.array_distinct("words")).alias("word"), "category").where("category is not null").groupBy("word", "category").agg(F.count("*").alias("n"))
+    share = names.where("category is not null").groupBy("category").agg(F.count("*").alias("c"))
+    share = share.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).drop("c")  # one row a category
+    m = F.sum("n").over(Window.partitionBy("word"))
+    j = counts.join(common, "word", "left_semi").withColumn("m", m).join(share, "category")
     # The expected divergence of a word that has nothing to do with categories is (k - 1) / 2m; it is taken off.
-    rows = j.groupBy("word").agg((F.coalesce(F.sum(term), F.lit(0.0)) - F.coalesce((F.max("k") - 1) / (2 * F.max("m")), F.lit(0.0))).alias("d")).collect()
+    d = j.groupBy("word").agg((F.sum(F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m") / F.col("p"))) - F.lit((k - 1) / 2) / F.max("m")).alias("d"))
+    rows = common.join(d, "word", "left").select("word", F.coalesce("d", F.lit(0.0)).alias("d")).collect()
     kinds = {r["word"] for r in rows if r["d"] > TELLS_KIND}
     noise = {r["word"] for r in rows if r["d"] <= TELLS_KIND and len(r["word"]) <= 3}
     return Lexicon(kinds, {r["word"] for r in rows} - kinds - noise, noise)
 
 
-def near_names(names: DataFrame, lex: Lexicon) -> DataFrame:
-    """(site, a, b), a < b: the looks of a site whose names share two near words and that `same` links. names: site, look, name, one row per site and look."""
+def _cells(words: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """words with its length and, where more than BLOCK have one length, the number k of blocks and the own block c; and the lengths with their k."""
+    w = words.withColumn("len", F.length("word"))
+    k = w.groupBy("len").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    return w.join(k, "len").withColumn("c", F.pmod(F.xxhash64("word"), F.col("k")).cast("int")), k
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            n = [Name(x, lex) for x in t.column("name").to_pylist()]
-            some = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([t.column("site"), t.column("look"), t.column("name"), pa.array([[w for w in x.rest if len(w) >= 4] for x in n], some)], names=["site", "look", "name", "strong"])
+
+def near_table(words: DataFrame) -> DataFrame:
+    """(x, y, d), x < y: all words within the allowed edits of each other. words: word, distinct, of 4 letters and more.
+
+    A shard is a block of the words of one length; every two blocks of lengths at most two apart meet in a task of their own.
+    """
+    w, k = _cells(words.select("word"))
+    lens = k.select(F.col("len").alias("lb"), F.col("k").alias("kb"))
+    near = F.col("lb").between(F.col("len") - 2, F.col("len") + 2)
+    # A word stands on the left of its cells with blocks of its length or more, on the right of those with less.
+    to = w.join(lens, near).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
+    own, other = F.struct("len", "c"), F.struct(F.col("lb").alias("len"), F.col("cb").alias("c"))
+    cells = to.select("word", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own <= other).alias("left")).withColumn("alone", F.col("lo") == F.col("hi"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        side: tuple[list, list] = ([], [])
+        for word, left in zip(t.column("word").to_pylist(), t.column("left").to_pylist()):
+            side[not left].append((0, word))
+        rows = near_words(side[0]) if t.column("alone")[0].as_py() else near_words(side[0], side[1])
+        cols = [[min(r[1], r[2]) for r in rows], [max(r[1], r[2]) for r in rows], [int(r[3]) for r in rows]]
+        return pa.table({n: pa.array(c, ty) for n, c, ty in zip("xyd", cols, (pa.string(), pa.string(), pa.int32()))})
+
+    return cells.groupBy("lo", "hi").applyInArrow(meet, "x string, y string, d int")
+
+
+def spelling_table(words: DataFrame, near: DataFrame) -> DataFrame:
+    """(word, one array<string>): what a word may stand for. words: word, n; near: x, y, d.
+
+    A word that is as rare as a slip beside a word one edit away stands for that word, or several such. Any other word stands for
+    itself; a rare one also for the rare words near it, and for frequent ones two edits away of which it may be a slip. Words
+    not listed stand for themselves only.
+    """
+    c = words.select("word", "n")
+    both = near.join(c.withColumnsRenamed({"word": "x", "n": "nx"}), "x").join(c.withColumnsRenamed({"word": "y", "n": "ny"}), "y")
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "d", F.col("ny").alias("nx"), F.col("nx").alias("ny")))
+    rarer = (F.col("ny") >= TIMES * F.col("nx")) & (F.col("nx") <= F.when(F.col("d") == 1, F.greatest(F.lit(SLIP_FEW[1]), SLIP_ONE * F.col("ny"))).otherwise(F.greatest(F.lit(SLIP_FEW[2]), SLIP_TWO * F.col("ny"))))
+    kind = F.when(rarer & (F.col("d") == 1), 1).when(rarer & (F.col("ny") >= OWN), 2).when((F.col("nx") < OWN) & (F.col("ny") < OWN), 3)
+    both = materialize(both.select("x", "y", kind.alias("kind")).where("kind is not null"), "near")
+    slips = both.where("kind = 1").select("x").distinct()
+    # What is a slip itself is no word to be a slip of.
+    of = both.where("kind = 1").join(slips.select(F.col("x").alias("y")), "y", "left_anti").groupBy("x").agg(F.collect_set("y").alias("one"))
+    of = materialize(of, "slips")
+    sure = of.select("x")
+    rest = both.join(sure, "x", "left_anti").join(sure.select(F.col("x").alias("y")), "y", "left_anti")
+    rest = rest.groupBy("x").agg(F.collect_set("y").alias("ys")).select("x", F.concat(F.array("x"), "ys").alias("one"))
+    return of.unionByName(rest).withColumnRenamed("x", "word")
+
+
+def run_table(words: DataFrame, spells: DataFrame) -> DataFrame:
+    """(word, two array<struct<x, y>>): long rare words that are two others run together, each within its allowed edits and both within two. words: word, n; spells: as spelling_table gives it."""
+    slips = spells.where(~F.array_contains("one", F.col("word"))).select("word")
+    own = words.join(slips, "word", "left_anti")
+    wholes = own.where((F.length("word") >= 8) & (F.col("n") < OWN))
+    (w, k), (p, kp) = _cells(wholes.select("word")), _cells(own.select("word"))
+    # Every block of wholes meets every block of the words that may be a part of it.
+    a = w.select("word", "len", "c", F.lit(True).alias("whole")).join(kp.select(F.col("len").alias("lb"), F.col("k").alias("kb")), F.col("lb") <= F.col("len") - 2).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
+    b = p.select("word", F.col("len").alias("lb"), F.col("c").alias("cb"), F.lit(False).alias("whole")).join(k.select("len", "k"), F.col("lb") <= F.col("len") - 2).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = a.select("word", "whole", "len", "c", "cb").unionByName(b.select("word", "whole", "len", "c", "cb"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        side: tuple[list, list] = ([], [])
+        for word, whole in zip(t.column("word").to_pylist(), t.column("whole").to_pylist()):
+            side[whole].append((0, word))
+        rows = [(*r, kind) for kind, rs in enumerate(run_together(*side)) for r in rs]
+        cols = [[r[i] for r in rows] for i in range(1, 6)]
+        return pa.table({n: pa.array(c, ty) for n, c, ty in zip(("word", "cut", "part", "d", "kind"), cols, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))})
+
+    ends = materialize(cells.groupBy("len", "c", "cb").applyInArrow(meet, "word string, cut int, part string, d int, kind int"), "ends")
+    h = ends.where("kind = 0").select("word", "cut", F.col("part").alias("x"), "d")
+    t = ends.where("kind = 1").select("word", "cut", F.col("part").alias("y"), F.col("d").alias("e"))
+    return h.join(t, ["word", "cut"]).where("d + e <= 2").groupBy("word").agg(F.collect_set(F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).alias("two"))
+
+
+def sense_table(words: DataFrame) -> DataFrame:
+    """(word, one, two): the words that do not only stand for themselves, see spelling_table and run_table. words: word, n."""
+    long = words.where(F.length("word") >= 4)
+    spells = materialize(spelling_table(long, near_table(long)), "spells")
+    return materialize(spells.join(run_table(long, spells), "word", "full"), "senses")
+
+
+KEYED = "site string, look string, words array<string>, numbers array<string>, senses array<struct<word:string,one:array<string>,two:array<struct<x:string,y:string>>>>"
+
+
+def _senses(rows) -> Senses:
+    return {r["word"]: (tuple(r["one"] or (r["word"],)), [frozenset((p["x"], p["y"])) for p in r["two"] or ()]) for r in rows or ()}
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """(site, a, b), a < b: the looks of a site whose names `same` links. names: site, look, words, numbers, category, one row per site and look."""
+    words = materialize(names.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    lex = lexicon(names, words)
+    senses = sense_table(words)
+    common = sorted(lex.kinds | lex.others | lex.noise)
+    # Common words are known here; only those that are spellings of others, and all that are not common, are looked up.
+    settled = sorted(set(common) - {r["word"] for r in senses.where(F.col("word").isin(common)).select("word").collect()})
+    ask = names.select("site", "look", F.explode(F.filter(F.array_distinct("words"), lambda w: (F.length(w) >= 4) & ~w.isin(settled))).alias("word"))
+    found = ask.join(senses, "word").groupBy("site", "look").agg(F.collect_list(F.struct("word", "one", "two")).alias("senses"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
-            w = t.column("word").to_pylist()
-            at, key = deletion_keys(w, [allowed(x) for x in w])
-            yield pa.RecordBatch.from_arrays([*t.take(pa.array(at)).columns, pa.array(key)], names=[*t.schema.names, "key"])
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-                k = min(allowed(x), allowed(y))
-                ok.append(not (x in _formal and y in _formal) and distance(x, y, k) <= k)
-            yield t.filter(pa.array(ok, pa.bool_()))
-
-    def pairs(spread: bool):
-        """Every two words of a name as one key; spread: every two of their neighbours, own words among them."""
-
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # A name has many keys, so few names make a batch.
-            for t in (b.slice(lo, 200) for b in batches for lo in range(0, len(b), 200)):
-                at, key = [], []
-                for i, (strong, near) in enumerate(zip(t.column("strong").to_pylist(), t.column("near").to_pylist() if spread else [None] * len(t))):
-                    beside = [{x} for x in strong]
-                    if spread:
-                        by = defaultdict(set)
-                        for e in near or ():
-                            by[e["x"]].add(e["y"])
-                        beside = [by[x] | (set() if x in _formal else {x}) for x in strong]
-                    ks = {f"{min(x, y)} {max(x, y)}" for p, q in combinations(beside, 2) for x in p for y in q}
-                    at += [i] * len(ks)
-                    key += sorted(ks)
-                s = t.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([s.column("site"), pa.array(key, pa.string()), s.column("look"), s.column("name")], names=["site", "key", "look", "name"])
-
-        return of
+        for b in batches:
+            at, key = [], []
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("words", "numbers", "senses")))):
+                k = Name(row[0], row[1], lex, _senses(row[2])).keys()
+                at += [i] * len(k)
+                key += k
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(key, pa.string())], names=[*b.schema.names, "key"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            names: dict[str, Name] = {}
-            of = lambda x: names.get(x) or names.setdefault(x, Name(x, lex))
-            ok = [same(of(x), of(y), lex) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist())]
-            yield t.select(["site", "a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    n = materialize(names.select("site", "look", "name").mapInArrow(words, "site string, look string, name string, strong array<string>").where(F.size("strong") > 1), "words")
-    k = materialize(n.select("site", F.explode("strong").alias("word")).distinct().mapInArrow(keyed, "site string, word string, key bigint"), "keys")
-    x, y = k.withColumnRenamed("word", "x"), k.withColumnRenamed("word", "y")
-    near = x.join(y, ["site", "key"]).where((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 2)).select("site", "x", "y").distinct()
-    near = materialize(near.mapInArrow(within, "site string, x string, y string"), "near")
-    near = near.unionAll(near.select("site", F.col("y").alias("x"), F.col("x").alias("y")))
-    beside = n.select("site", "look", F.explode(F.array_distinct("strong")).alias("x")).join(near, ["site", "x"]).groupBy("site", "look").agg(F.collect_list(F.struct("x", "y")).alias("near"))
-    keys = "site string, key string, look string, name string"
-    a = n.join(beside, ["site", "look"], "left").mapInArrow(pairs(True), keys).withColumnsRenamed({"look": "a", "name": "na"})
-    b = n.mapInArrow(pairs(False), keys).withColumnsRenamed({"look": "b", "name": "nb"})
-    two = a.join(b, ["site", "key"]).where("a <> b").drop("key")
-    order = lambda l, r: F.when(F.col("a") < F.col("b"), F.col(l)).otherwise(F.col(r))
-    met = two.select("site", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), order("na", "nb").alias("na"), order("nb", "na").alias("nb")).distinct()
-    met = materialize(met, "met")
-    return met.repartition(max(1, -(-met.count() // CHUNK)), "site", "a", "b").mapInArrow(linked, "site string, a string, b string")
+        for b in batches:
+            taken: dict[str, Name] = {}
+            ok, cols = [], {c: b.column(c).to_pylist() for c in b.schema.names}
+
+            def of(i: int, side: str) -> Name:
+                x = cols[side][i]  # noqa: B023
+                if x not in taken:  # noqa: B023
+                    taken[x] = Name(cols[side + "words"][i], cols[side + "numbers"][i], lex, _senses(cols[side + "senses"][i]))  # noqa: B023
+                return taken[x]  # noqa: B023
+
+            site = None
+            for i, s in enumerate(cols["site"]):
+                if s != site:
+                    taken.clear()
+                    site = s
+                ok.append(same(of(i, "a"), of(i, "b"), lex))
+            yield b.select(["site", "a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    k = names.select("site", "look", "words", "numbers").join(found, ["site", "look"], "left").mapInArrow(keyed, KEYED + ", key string")
+    side = lambda s: k.select("site", "key", F.col("look").alias(s), *(F.col(c).alias(s + c) for c in ("words", "numbers", "senses")))
+    met = side("a").join(side("b"), ["site", "key"]).where("a < b").drop("key")
+    return met.mapInArrow(linked, "site string, a string, b string").distinct()
 
 
 def variants(places: DataFrame) -> DataFrame:
@@ -525,61 +486,18 @@ def variants(places: DataFrame) -> DataFrame:
     names. Names that look the same or differ in case only are no pair. Repeated rows count once; empty tables give no rows.
     Links between spellings are closed: spellings tied over a third one are a pair too.
     """
-    spark = places.sparkSession
-    ship(spark)
+    ship(places.sparkSession)
     p = places.select("id", "site", "name", "category").where(F.col("id").isNotNull() & F.col("site").isNotNull() & (F.length(F.trim("name")) > 0))
     distinct = p.groupBy("site", "name").agg(F.max("category").alias("category"))
     looks = with_forms(distinct, form="name").withColumn("look", F.lower("form")).where(F.length("look") > 0)
-    looks = materialize(looks.select("site", "name", "look", "category"), "looks")
-    lex = lexicon(looks.groupBy("look").agg(F.max("name").alias("name"), F.max("category").alias("category")))
-    one = looks.groupBy("site", "look").agg(F.max("name").alias("name"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [Name(n, lex) for n in b.column("name").to_pylist()]
-            at, shard = [], []
-            for i, s in enumerate(lex.shards(names)):
-                for x in sorted(s):
-                    at.append(i)
-                    shard.append(x)
-            t = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(shard, pa.string())], names=[*t.schema.names, "shard"])
-
-    routed = materialize(one.mapInArrow(route, "site string, look string, name string, shard string"), "routed")
-    # Full shards are cut into chunks; every two chunks of a shard meet in a task of their own.
-    full = routed.groupBy("site", "shard").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("site", "shard", F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
-    cut = routed.join(full, ["site", "shard"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    cut = cut.withColumn("c", F.pmod(F.xxhash64("look"), F.col("k")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cut.select("site", "shard", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "k", "look", "name")
-    # Shards that are not full share tasks, about CHUNK names in each.
-    tasks = max(1, -(-routed.count() // CHUNK))
-    alone = F.lit(tasks) + F.pmod(F.xxhash64("site", "shard", "i", "j"), F.lit(1 << 40))
-    cells = cells.withColumn("task", F.when(F.col("k") == 1, F.pmod(F.xxhash64("site", "shard"), F.lit(tasks))).otherwise(alone)).drop("k")
-
-    def link(t: pa.Table) -> pa.Table:
-        by: dict[tuple, list] = defaultdict(list)
-        for site, shard, i, j, c, look, name in zip(*(t.column(x).to_pylist() for x in ("site", "shard", "i", "j", "c", "look", "name"))):
-            by[site, shard, i, j].append((look, name, c))
-        keys, groups, looks = sorted(by), [], []
-        for site, shard, i, j in keys:
-            rows = sorted(by[site, shard, i, j])
-            left, right = [r for r in rows if r[2] == i], None if i == j else [r for r in rows if r[2] == j]
-            groups.append((shard, [Name(n, lex) for _, n, _ in left], right and [Name(n, lex) for _, n, _ in right]))
-            looks.append((left, left if right is None else right))
-        # An empty chunk meets nothing.
-        groups = [(s, l, r) if r != [] else (s, [], None) for s, l, r in groups]
-        ends = [(keys[g][0], looks[g][0][a][0], looks[g][1][b][0]) for g, a, b in forest_links(groups, lex)]
-        cols = [[e[0] for e in ends], [min(e[1:]) for e in ends], [max(e[1:]) for e in ends]]
-        return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("site", "a", "b"), cols)})
-
-    links = cells.groupBy("task").applyInArrow(link, "site string, a string, b string")
-    links = materialize(links.union(near_names(one, lex)).distinct(), "links")
-    families = closed(links)
+    looks = materialize(parsed(looks.select("site", "name", "look", "category")), "looks")
+    one = looks.groupBy("site", "look").agg(F.max(F.struct("name", "words", "numbers")).alias("r"), F.max("category").alias("category"))
+    one = materialize(one.select("site", "look", "category", "r.words", "r.numbers"), "names")
+    families = closed(materialize(near_names(one), "links"))
     a, b = families.withColumnRenamed("look", "la"), families.withColumnRenamed("look", "lb")
     pairs = a.join(b, ["site", "family"]).where("la < lb").select("site", "la", "lb")
     members = p.join(looks.select("site", "name", "look"), ["site", "name"]).select("site", "look", "id").distinct()
-    tied = members.join(families.select("site", "look"), ["site", "look"], "left_semi")
-    tied = materialize(tied, "members")
+    tied = materialize(members.join(families.select("site", "look"), ["site", "look"], "left_semi"), "members")
     ids = pairs.join(tied.select("site", F.col("look").alias("la"), F.col("id").alias("x")), ["site", "la"]).join(tied.select("site", F.col("look").alias("lb"), F.col("id").alias("y")), ["site", "lb"])
     return ids.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
