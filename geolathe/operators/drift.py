@@ -189,7 +189,7 @@ SEEDS = {"name": ("name",), "category": ("category",), "hierarchy": ("hierarchy"
 
 
 def lineage(edits: DataFrame) -> DataFrame:
-    """path, column: every path that carries a fixed column in any file, by following renames and moves from its seed.
+    """path, column, n: every path that carries a fixed column in any file, by following renames and moves from its seed, and by how many files it is tied to it.
 
     Renames are counted over all feeds as (old path, new path); a path belongs to the column it is tied to by most files.
     The table is one row per distinct path that was ever renamed, far below the data; it is spread by repeated joins.
@@ -204,7 +204,51 @@ def lineage(edits: DataFrame) -> DataFrame:
         step = known.join(e, known.path == e.a).select(F.col("b").alias("path"), "column", F.least(known.n, e.n).alias("n"))
         best = known.unionAll(step).groupBy("path", "column").agg(F.max("n").alias("n"))
         known = materialize(best.groupBy("path").agg(F.max_by("column", F.struct("n", "column")).alias("column"), F.max("n").alias("n")), "lineage")
-    return known.select("path", "column")
+    return known.select("path", "column", "n")
+
+
+def projections(files: DataFrame, edits: DataFrame, paths: DataFrame) -> DataFrame:
+    """(file_name, projection map<column, path>): each feed's scripts compiled to one projection per file.
+
+    A feed's fields are followed from file to file through its own scripts. All paths of one field vote for its column by
+    `paths`, so a path that other feeds use for something else does not mislead. A feed has a few files, so it is one group.
+    """
+    has = files.select("feed", "file_name", "prev_file", F.explode(F.map_keys("fields")).alias("path"))
+    carried = edits.where(F.col("change_kind").isin("renamed", "moved")).select("file_name", F.col("field_path").alias("path"), F.col("old_path"))
+    rows = has.join(carried, ["file_name", "path"], "left").join(paths, "path", "left")
+
+    def compile_feed(t: pa.Table) -> pa.Table:
+        by_file: dict[str, list[dict]] = {}
+        after: dict[str | None, list[str]] = {}
+        for r in sorted(t.to_pylist(), key=lambda r: (r["file_name"], r["path"])):
+            if r["file_name"] not in by_file:
+                after.setdefault(r["prev_file"], []).append(r["file_name"])
+            by_file.setdefault(r["file_name"], []).append(r)
+        # A file's predecessor may have no field at all and so no row.
+        todo = [f for p, fs in after.items() if p not in by_file for f in fs]
+        of: dict[tuple[str, str], int] = {}
+        votes: list[dict[str, int]] = []
+        for f in todo:
+            for r in by_file[f]:
+                field = of.get((r["prev_file"], r["old_path"] or r["path"]))
+                if field is None:
+                    field = len(votes)
+                    votes.append({})
+                of[f, r["path"]] = field
+                if r["column"]:
+                    votes[field][r["column"]] = votes[field].get(r["column"], 0) + r["n"]
+            todo += after.get(f, [])
+        best = [max(((n, c) for c, n in v.items()), default=(0, None)) for v in votes]
+        took: dict[tuple[str, str], tuple[int, str]] = {}
+        for (f, path), field in sorted(of.items()):
+            n, c = best[field]
+            if c and n > took.get((f, c), (0, ""))[0]:
+                took[f, c] = (n, path)
+        keys = sorted(took)
+        return pa.table({"file_name": pa.array([f for f, _ in keys], pa.string()), "column": pa.array([c for _, c in keys], pa.string()), "path": pa.array([took[k][1] for k in keys], pa.string())})
+
+    compiled = rows.groupBy("feed").applyInArrow(compile_feed, "file_name string, column string, path string")
+    return compiled.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("column", "path"))).alias("projection"))
 
 
 def unified(raw: DataFrame) -> DataFrame:
@@ -216,10 +260,8 @@ def unified(raw: DataFrame) -> DataFrame:
     """
     recs = materialize(records(raw), "records")
     files = materialize(schemas(recs), "schemas")
-    paths = lineage(materialize(scripts(recs, files), "scripts"))
-    file_paths = files.select("file_name", F.explode(F.map_keys("fields")).alias("path")).join(paths, "path").groupBy("file_name", "column").agg(F.min("path").alias("path"))
-    projection = file_paths.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("column", "path"))).alias("projection"))
-    r = recs.join(projection, "file_name", "left")
+    edits = materialize(scripts(recs, files), "scripts")
+    r = recs.join(projections(files, edits, lineage(edits)), "file_name", "left")
     by_path = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f)))
     r = r.withColumn("by_path", by_path)
     got = {c: F.try_element_at("by_path", F.coalesce(F.try_element_at("projection", F.lit(c)), F.lit(c))) for c in FIXED}

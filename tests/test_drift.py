@@ -1,9 +1,12 @@
 """Schema drift: edit scripts, the rules of presence and renaming, dirty lines and the unified table."""
 
 import datetime as dt
+import itertools
 import json
+import random
 
-from geolathe.functions.treedit import edit_script
+from geolathe.functions import treedit
+from geolathe.functions.treedit import carry_cost, edit_script
 from geolathe.operators.drift import changes, flatten, unified, written
 
 S = "file_name string, feed string, release string, line_no int, payload string, ingested_at timestamp, path string, kind string"
@@ -32,6 +35,73 @@ def test_scripts_are_cheapest():
     assert edit_script({}, {}, {}) == []
 
 
+def brute(old, new, share):
+    """Least cost over all ways to pair gone with fresh fields of which a tree mapping is not asked."""
+    may = [k for k in share if k[0] not in new and k[1] not in old]
+    best = (1e9, None)
+    for n in range(len(may) + 1):
+        for some in itertools.combinations(may, n):
+            if len({a for a, _ in some}) == n == len({b for _, b in some}):
+                cost = sum(carry_cost(a, b, share[a, b], old[a] != new[b]) for a, b in some) + len(old.keys() - new.keys()) + len(new.keys() - old.keys()) - 2 * n
+                best = min(best, (cost, sorted(some)))
+    return best
+
+
+def script_cost(old, new, share, script):
+    pairs = [(a, b) for k, a, b in script if k in ("renamed", "moved")]
+    return sum(carry_cost(a, b, share[a, b], old[a] != new[b]) for a, b in pairs) + sum(k in ("added", "removed") for k, _, _ in script)
+
+
+def test_scripts_cost_no_more_than_any_pairing():
+    r = random.Random(1)
+    more = 0
+    for _ in range(200):
+        old = {p: "string" for p in r.sample(["a", "b", "c.x", "c.y", "d", "e.f.g"], r.randint(1, 4))}
+        new = {p: "string" for p in r.sample(["q", "r", "s.x", "s.y", "t", "u.f.g"], r.randint(1, 4))}
+        share = {(a, b): r.choice([0.8, 0.9, 1.0]) for a in old for b in new if r.random() < 0.5}
+        script = edit_script(old, new, share)
+        cost, _ = brute(old, new, share)
+        # The tree also pays for objects it adds and takes away, so among pairings of as many fields it may prefer another place.
+        assert len([k for k, _, _ in script if k in ("renamed", "moved")]) == len(brute(old, new, share)[1])
+        more += script_cost(old, new, share, script) > cost + 0.5
+    assert more <= 4
+
+
+def test_one_field_of_two_that_could_be_both_is_left_for_the_other():
+    # The best single pair (a, q) would leave b without a counterpart.
+    share = {("a", "q"): 1.0, ("a", "r"): 0.95, ("b", "q"): 0.95}
+    got = edit_script({"a": "string", "b": "string"}, {"q": "string", "r": "string"}, share)
+    assert set(got) == {("renamed", "a", "r"), ("renamed", "b", "q")}
+
+
+def test_equal_evidence_is_decided_by_the_tree(monkeypatch):
+    # Both objects may carry on the old one's fields; the mapping keeps the fields of one object together.
+    old = {"p.v": "string", "p.w": "string"}
+    new = {"q.v1": "string", "q.w1": "string", "r.v1": "string", "r.w1": "string"}
+    share = {("p.v", "q.v1"): 1.0, ("p.v", "r.v1"): 1.0, ("p.w", "q.w1"): 0.99, ("p.w", "r.w1"): 1.0}
+    want = {("moved", "p.v", "r.v1"), ("moved", "p.w", "r.w1"), ("added", "q.v1", "q.v1"), ("added", "q.w1", "q.w1")}
+    assert set(edit_script(old, new, share)) == want
+    monkeypatch.setattr(treedit, "mapping", lambda *a: [])
+    assert set(edit_script(old, new, share)) != want
+
+
+def test_moves_that_cross():
+    old = {"a.x": "string", "b.y": "string"}
+    new = {"c.d": "string", "e": "string"}
+    share = {("a.x", "e"): 1.0, ("b.y", "c.d"): 1.0}
+    assert set(edit_script(old, new, share)) == {("moved", "a.x", "e"), ("moved", "b.y", "c.d")}
+
+
+def test_projections_follow_the_feed(spark):
+    # In feed f the path "label" is the name, in feed g the category; each file is read by its own feed's scripts.
+    rec = lambda i, **k: {"id": i, "confidence": 0.5, **k}
+    f = [[rec(i, name=f"n{i}", category="c") for i in range(8)], [rec(i, label=f"n{i}", category="c") for i in range(8)]]
+    g = [[rec(i, name=f"m{i}", category=f"k{i}") for i in range(8)], [rec(i, name=f"m{i}", label=f"k{i}") for i in range(8)]]
+    data = [x for feed, files in (("f", f), ("g", g)) for k, r in enumerate(files) for x in lines(feed, f"r{k}", r)]
+    out = {(r["feed"], r["id"]): (r["name"], r["category"]) for r in unified(spark.createDataFrame(data, S)).where("release = 'r1'").collect()}
+    assert out["f", "3"] == ("n3", "c") and out["g", "3"] == ("m3", "k3")
+
+
 def test_changes_between_files(spark, rows):
     a = [{"id": i, "name": f"n{i}", "path": f"x > y{i}", "score": i / 10, "old": i} for i in range(10)]
     b = [{"id": i, "names": {"common": f"n{i}"}, "path": ["x", f"y{i}"], "rank": str(i / 10), "new": i % 2} for i in range(10)]
