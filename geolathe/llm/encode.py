@@ -1,10 +1,10 @@
 """The whole corpus as ids of a public tokenizer.
 
-Short texts are encoded whole, Arrow batch by Arrow batch. A long text is cut into pieces that are encoded in parallel
-and joined again in a tree: around each join a growing window is encoded anew until its first id agrees with the left
-side and its last with the right side; from there on both sides are what encoding the whole would give, so the result is
-exact. Byte-level BPE over a pre-tokenizer has this locality: a boundary between ids that survives a re-encoding of both
-its neighbours is one that the whole text has too.
+A text is cut into pieces of PIECE characters, which are encoded by tasks of their own and joined in a tree over the tasks,
+level by level, two neighbours at a time: around each join a growing window is encoded anew until its first ids agree with
+the left side and its last with the right side; from there on both sides are what encoding the whole would give, so the
+result is exact. Byte-level BPE over a pre-tokenizer has this locality: a boundary between ids that survives a re-encoding of
+both its neighbours is one that the whole text has too. A text of a single piece is a tree of one leaf and is not shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from geolathe.session import ship
+from geolathe.session import materialize, ship
 
 TOKENIZER = "byte_bpe_50k"
-LONG = 200_000  # characters; above this a text is cut
-PIECE = 50_000  # characters of a piece
+PIECE = 4096  # characters of a piece
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -120,43 +120,63 @@ def _lists(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
-def token_ids(docs: DataFrame, *, tokenizer: str = TOKENIZER, folder: str | None = None, long: int = LONG, piece: int = PIECE) -> DataFrame:
+def token_ids(docs: DataFrame, *, tokenizer: str = TOKENIZER, folder: str | None = None, piece: int = PIECE) -> DataFrame:
     """(doc_id, ids): the ids of each text without special tokens; special strings in a text are ordinary text.
 
     docs: doc_id, text; others are ignored. A null and an empty text have the empty list, a blank text its own ids. One row
-    per input row, so repeated rows stay. Empty tables give no rows.
+    per input row, so repeated rows stay. Empty tables give no rows. Each text is encoded once, whatever its length.
     """
     ship(docs.sparkSession)
     d = docs.select("doc_id", "text")
+    of_id = d.schema["doc_id"]
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, folder)
         for b in batches:
             rows = [c.enc.encode_to_numpy(t) if t else np.zeros(0, np.uint32) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(rows)], names=["doc_id", "ids"])
+            rest = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), _lists(rows)], names=[*rest, "ids"])
 
-    out_schema = d.select("doc_id").schema.add("ids", IDS)
-    plain = d.where(F.coalesce(F.length("text") <= long, F.lit(True))).mapInArrow(short, out_schema)
-
-    # Long texts: pieces over the cluster, then a tree over neighbours until one list is left. Each row is named apart, as doc_id may repeat.
-    big = d.where(F.length("text") > long).withColumn("row", F.expr("uuid()"))
-    starts = F.sequence(F.lit(1), F.length("text"), F.lit(piece))
-    pieces = big.select("row", "doc_id", "text", F.posexplode(starts).alias("k", "at")).select("row", "doc_id", "k", F.substring("text", F.col("at"), F.lit(piece)).alias("text"))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, folder)
-        for b in batches:
-            rows = [c.enc.encode_to_numpy(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("k"), _lists(rows)], names=["row", "doc_id", "k", "ids"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 64) for b in batches for lo in range(0, len(b), 64)):
+            parts = [[t[i : i + piece] for i in range(0, len(t), piece)] for t in b.column("text").to_pylist()]
+            at = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            k, text = pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at), k, text], names=["row", "doc_id", "k", "text"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours k and k + 1, k even, of rows in order become piece k / 2; a last one without neighbour stays as it is."""
         c = codec(tokenizer, folder)
+        held = None
         for b in batches:
-            rows = [encode_tree(c, [p["ids"] for p in parts]) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(rows)], names=["doc_id", "ids"])
-
-    part_schema = big.select("row", "doc_id").withColumn("k", F.lit(0)).schema.add("ids", IDS)
-    spread = pieces.repartition("row", "k").mapInArrow(part, part_schema)
-    # The pieces of one text meet in one row, as its list has to in the result; only windows are encoded again there.
-    whole = spread.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return plain.unionByName(whole.mapInArrow(join, out_schema))
+            out = []
+            for r in zip(*(b.column(n).to_pylist() for n in ("row", "doc_id", "k")), (x.values.to_numpy() for x in b.column("ids"))):
+                if held and held[0] == r[0] and held[2] + 1 == r[2]:
+                    out.append((*held[:2], held[2] // 2, join_ids(c, held[3].tolist(), r[3].tolist())))
+                    held = None
+                else:
+                    if held:
+                        out.append((*held[:2], held[2] // 2, held[3]))
+                    held = r
+            yield batch(out)
+        yield batch([(*held[:2], held[2] // 2, held[3])] if held else [])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        row, doc, k = (pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (1, doc_type), (2, pa.int32())))
+        return pa.RecordBatch.from_arrays([row, doc, k, _lists([r[3] for r in rows])], names=["row", "doc_id", "k", "ids"])
+
+    doc_type = to_arrow_type(of_id.dataType)
+    out_schema = T.StructType([of_id, T.StructField("ids", IDS)])
+    leaf = F.coalesce(F.length("text") <= piece, F.lit(True))
+    whole = d.where(leaf).mapInArrow(encode, out_schema)
+
+    # Each row is named apart, as doc_id may repeat.
+    key = T.StructType([T.StructField("row", T.LongType()), of_id, T.StructField("k", T.IntegerType())])
+    pieces = d.where(~leaf).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, T.StructType([*key, T.StructField("text", T.StringType())]))
+    level_schema = T.StructType([*key, T.StructField("ids", IDS)])
+    level = materialize(pieces.repartition("row", "k").mapInArrow(encode, level_schema), "pieces")
+    last = level.agg(F.max("k")).first()[0] or 0
+    while last:
+        level = level.repartition("row", F.floor(F.col("k") / 2)).sortWithinPartitions("row", "k").mapInArrow(join, level_schema)
+        last //= 2
+    return whole.unionByName(level.select("doc_id", "ids"))

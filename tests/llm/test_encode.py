@@ -43,7 +43,15 @@ def test_rows(spark):
     long = "".join(rng.choice(["word ", "x" * 50, "12 ", "\n", "中文"]) for _ in range(3000))
     texts = [None, "", "  \n", "plain text", "plain text", long, long[:4000] + "a" * 9000]
     df = spark.createDataFrame(list(enumerate(texts)) + [(3, "plain text")], "doc_id bigint, text string")
-    got = sorted((r["doc_id"], r["ids"]) for r in token_ids(df, long=2000, piece=500).collect())
+    got = sorted((r["doc_id"], r["ids"]) for r in token_ids(df, piece=500).collect())
     want = sorted((i, C.encode(t) if t else []) for i, t in [*enumerate(texts), (3, "plain text")])
     assert got == want
+    assert sorted((r["doc_id"], r["ids"]) for r in token_ids(df).collect()) == want
     assert token_ids(df.limit(0)).collect() == []
+
+
+def test_every_number_of_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "x" * 9, "12 ", "\n", "中文", "é "]) for _ in range(200))[: 7 * n + n % 3] for n in range(40)]
+    df = spark.createDataFrame([(str(i), t, "clash", 0) for i, t in enumerate(texts)], "doc_id string, text string, ids string, k int").repartition(3)
+    assert {r["doc_id"]: r["ids"] for r in token_ids(df, piece=7).collect()} == {str(i): C.encode(t) for i, t in enumerate(texts)}
