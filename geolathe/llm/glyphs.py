@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,9 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
+PLAIN = "^[!-~]+( [!-~]+)*$"  # visible ASCII with single blanks between, its own form
+
+
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
@@ -89,7 +93,7 @@ def with_forms(df: DataFrame, **cols: str) -> DataFrame:
     """df with new columns, each the one form of a text column: with_forms(df, form="name"). NULL stays NULL, empty and blank text become ''."""
     ship(df.sparkSession)
     names = df.columns
-    # Plain ASCII without runs of blanks is its own form; the SQL sees only the distinct rest of a batch.
+    # The SQL sees the distinct texts of a batch that are not plain.
     sql = f"SELECT v, {form_sql('v')} AS f FROM src"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +102,12 @@ def with_forms(df: DataFrame, **cols: str) -> DataFrame:
             arrays, fields = list(b.columns), list(b.schema)
             for new, old in cols.items():
                 v = b.column(b.schema.get_field_index(old)).cast(pa.string()).dictionary_encode()
-                src = pa.table({"v": v.dictionary})
-                con.register("src", src)
+                rest = v.dictionary.filter(pc.invert(pc.match_substring_regex(v.dictionary, PLAIN)))
+                con.register("src", pa.table({"v": rest}))
                 forms = con.sql(sql).to_arrow_table()
                 con.unregister("src")
                 by = dict(zip(forms.column("v").to_pylist(), forms.column("f").to_pylist()))
-                out = pa.array([by[x] for x in v.dictionary.to_pylist()], pa.string()).take(v.indices)
+                out = pa.array([by.get(x, x) for x in v.dictionary.to_pylist()], pa.string()).take(v.indices)
                 arrays.append(out)
                 fields.append(pa.field(new, pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))

@@ -118,27 +118,42 @@ _MIX = {ord(k): v for k, v in TO_LATIN.items()}
 _BACK = {ord(k): v for k, v in TO_CYRILLIC.items()}
 
 
+class _Plain(dict):
+    """What str.translate makes of a character behind NFKD: marks and invisible signs go, letters that do not come apart become plain. Filled as characters are met."""
+
+    def __missing__(self, c: int):
+        self[c] = None if unicodedata.category(chr(c)) in ("Cf", "Cc", "Mn") and chr(c) not in "\t\n\r" else c
+        return self[c]
+
+
+_PLAIN = _Plain({ord(k): v for k, v in {"đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "ı": "i", "'": None, "’": None}.items()})
+_foreign = re.compile("[^\x00-\u024f]")
+
+
 def fold(name: str) -> str:
     """Lower case without accents; wide and joined letters plain, invisible signs gone, look-alike letters in the script of their word."""
-    s = unicodedata.normalize("NFKD", name)
-    if not s.isascii():
-        s = "".join(c for c in s if unicodedata.category(c) not in ("Cf", "Cc", "Mn") or c in "\t\n\r")
-        if any(c > "ɏ" for c in s):
-            own = [c for c in s if ("Ѐ" <= c <= "ӿ") and c not in TO_LATIN]
-            latin = sum(c.isascii() and c.isalpha() for c in s)
-            s = s.translate(_BACK) if len(own) > latin // 2 and own else s.translate(_MIX)
-    return s.casefold().replace("đ", "d").replace("ð", "d").replace("ø", "o").replace("ł", "l").replace("ı", "i").replace("'", "").replace("’", "")
+    if name.isascii():
+        return name.lower().replace("'", "")
+    s = unicodedata.normalize("NFKD", name).translate(_PLAIN)
+    if _foreign.search(s):
+        own = [c for c in s if ("Ѐ" <= c <= "ӿ") and c not in TO_LATIN]
+        latin = sum(c.isascii() and c.isalpha() for c in s)
+        s = s.translate(_BACK) if len(own) > latin // 2 and own else s.translate(_MIX)
+    return s.casefold()
 
 
 def words_of(name: str) -> tuple[list[str], tuple[str, ...]]:
     """Words and numbers of a name; bracketed remarks and signs are left out."""
     t = fold(name)
-    t = REMARK.sub(" ", t)
+    if "(" in t or "," in t or "-" in t:
+        t = REMARK.sub(" ", t)
     words, numbers = [], []
     for w in _word.findall(t):
-        if w.isdigit():
+        if w.isalpha():
+            words.append(w)
+        elif w.isdigit():
             numbers.append(w.lstrip("0") or "0")
-        elif any(c.isdigit() for c in w):
+        elif any(map(str.isdigit, w)):
             numbers.append(w)
         else:
             words.append(w)
@@ -325,20 +340,22 @@ def parsed(names: DataFrame) -> DataFrame:
 
 
 def lexicon(names: DataFrame, words: DataFrame) -> Lexicon:
-    """Learns the common words. names: words, category, one row per name; words: word, n, from how many names. Collects the common words only, whose number is bounded by COMMON."""
-    total, k = names.agg(F.count("*"), F.count_distinct("category")).first()
-    common = words.where(F.col("n") >= max(COMMON_LEAST, COMMON * total)).select("word", F.col("n").alias("all"))
-    counts = names.select(F.explode(F.array_distinct("words")).alias("word"), "category").where("category is not null").groupBy("word", "category").agg(F.count("*").alias("n"))
-    share = names.where("category is not null").groupBy("category").agg(F.count("*").alias("c"))
-    share = share.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).drop("c")  # one row a category
-    m = F.sum("n").over(Window.partitionBy("word"))
-    j = counts.join(common, "word", "left_semi").withColumn("m", m).join(share, "category")
+    """Learns the common words. names: words, category, one row per name; words: word, n, from how many names. Collects the common words only, whose number is bounded by COMMON, and counts of categories."""
+    total = names.count()
+    common = [r["word"] for r in words.where(F.col("n") >= max(COMMON_LEAST, COMMON * total)).select("word").collect()]
+    # The word NULL stands for all names of a category.
+    held = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array_distinct("words"), lambda w: w.isin(common)))
+    by = names.where("category is not null").select(F.explode(held).alias("word"), "category").groupBy("word", "category").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("word")
+    each = by.select("word", "category", "n", F.sum("n").over(own).alias("m"))
+    base = each.where("word is null").select("category", (F.col("n") / F.col("m")).alias("p"))
+    d = each.where("word is not null").join(base, "category").groupBy("word").agg(F.sum(F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m") / F.col("p"))).alias("d"), F.max("m").alias("m"))
     # The expected divergence of a word that has nothing to do with categories is (k - 1) / 2m; it is taken off.
-    d = j.groupBy("word").agg((F.sum(F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m") / F.col("p"))) - F.lit((k - 1) / 2) / F.max("m")).alias("d"))
-    rows = common.join(d, "word", "left").select("word", F.coalesce("d", F.lit(0.0)).alias("d")).collect()
-    kinds = {r["word"] for r in rows if r["d"] > TELLS_KIND}
-    noise = {r["word"] for r in rows if r["d"] <= TELLS_KIND and len(r["word"]) <= 3}
-    return Lexicon(kinds, {r["word"] for r in rows} - kinds - noise, noise)
+    k = by.where("word is null").count()
+    found = {r["word"]: r["d"] - (k - 1) / (2 * r["m"]) for r in d.collect()}
+    kinds = {w for w in common if found.get(w, 0.0) > TELLS_KIND}
+    noise = {w for w in common if w not in kinds and len(w) <= 3}
+    return Lexicon(kinds, set(common) - kinds - noise, noise)
 
 
 def _cells(words: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
@@ -349,54 +366,49 @@ def _cells(words: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
 
 
 def near_table(words: DataFrame) -> DataFrame:
-    """(x, y, d), x < y: all words within the allowed edits of each other. words: word, distinct, of 4 letters and more.
+    """(x, y, d, nx, ny), x < y: all words within the allowed edits of each other. words: word, distinct, of 4 letters and more, and n.
 
     A shard is a block of the words of one length; every two blocks of lengths at most two apart meet in a task of their own.
     """
-    w, k = _cells(words.select("word"))
+    w, k = _cells(words.select("word", "n"))
     lens = k.select(F.col("len").alias("lb"), F.col("k").alias("kb"))
     near = F.col("lb").between(F.col("len") - 2, F.col("len") + 2)
     # A word stands on the left of its cells with blocks of its length or more, on the right of those with less.
     to = w.join(lens, near).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
     own, other = F.struct("len", "c"), F.struct(F.col("lb").alias("len"), F.col("cb").alias("c"))
-    cells = to.select("word", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own <= other).alias("left")).withColumn("alone", F.col("lo") == F.col("hi"))
+    cells = to.select("word", "n", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own <= other).alias("left")).withColumn("alone", F.col("lo") == F.col("hi"))
 
     def meet(t: pa.Table) -> pa.Table:
         side: tuple[list, list] = ([], [])
+        n = dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist()))
         for word, left in zip(t.column("word").to_pylist(), t.column("left").to_pylist()):
             side[not left].append((0, word))
         rows = near_words(side[0]) if t.column("alone")[0].as_py() else near_words(side[0], side[1])
-        cols = [[min(r[1], r[2]) for r in rows], [max(r[1], r[2]) for r in rows], [int(r[3]) for r in rows]]
-        return pa.table({n: pa.array(c, ty) for n, c, ty in zip("xyd", cols, (pa.string(), pa.string(), pa.int32()))})
+        x, y = [min(r[1], r[2]) for r in rows], [max(r[1], r[2]) for r in rows]
+        cols = {"x": pa.array(x, pa.string()), "y": pa.array(y, pa.string()), "d": pa.array([int(r[3]) for r in rows], pa.int32())}
+        return pa.table(cols | {"nx": pa.array([n[v] for v in x], pa.int64()), "ny": pa.array([n[v] for v in y], pa.int64())})
 
-    return cells.groupBy("lo", "hi").applyInArrow(meet, "x string, y string, d int")
+    return cells.groupBy("lo", "hi").applyInArrow(meet, "x string, y string, d int, nx bigint, ny bigint")
 
 
-def spelling_table(words: DataFrame, near: DataFrame) -> DataFrame:
-    """(word, one array<string>): what a word may stand for. words: word, n; near: x, y, d.
+def spelling_table(near: DataFrame) -> DataFrame:
+    """(word, one array<string>): what a word may stand for. near: as near_table gives it.
 
     A word that is as rare as a slip beside a word one edit away stands for that word, or several such. Any other word stands for
-    itself; a rare one also for the rare words near it, and for frequent ones two edits away of which it may be a slip. Words
-    not listed stand for themselves only.
+    itself; a rare one also for the rare words near it, and for frequent ones two edits away of which it may be a slip. What
+    is a slip itself is no word to be a slip of. Words not listed stand for themselves only.
     """
-    c = words.select("word", "n")
-    both = near.join(c.withColumnsRenamed({"word": "x", "n": "nx"}), "x").join(c.withColumnsRenamed({"word": "y", "n": "ny"}), "y")
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "d", F.col("ny").alias("nx"), F.col("nx").alias("ny")))
     rarer = (F.col("ny") >= TIMES * F.col("nx")) & (F.col("nx") <= F.when(F.col("d") == 1, F.greatest(F.lit(SLIP_FEW[1]), SLIP_ONE * F.col("ny"))).otherwise(F.greatest(F.lit(SLIP_FEW[2]), SLIP_TWO * F.col("ny"))))
     kind = F.when(rarer & (F.col("d") == 1), 1).when(rarer & (F.col("ny") >= OWN), 2).when((F.col("nx") < OWN) & (F.col("ny") < OWN), 3)
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "d", F.col("ny").alias("nx"), F.col("nx").alias("ny")))
     both = materialize(both.select("x", "y", kind.alias("kind")).where("kind is not null"), "near")
-    slips = both.where("kind = 1").select("x").distinct()
-    # What is a slip itself is no word to be a slip of.
-    of = both.where("kind = 1").join(slips.select(F.col("x").alias("y")), "y", "left_anti").groupBy("x").agg(F.collect_set("y").alias("one"))
-    of = materialize(of, "slips")
-    sure = of.select("x")
-    rest = both.join(sure, "x", "left_anti").join(sure.select(F.col("x").alias("y")), "y", "left_anti")
-    rest = rest.groupBy("x").agg(F.collect_set("y").alias("ys")).select("x", F.concat(F.array("x"), "ys").alias("one"))
-    return of.unionByName(rest).withColumnRenamed("x", "word")
+    slips = both.where("kind = 1").select(F.col("x").alias("y")).distinct()
+    of = both.join(slips, "y", "left_anti").groupBy("x").agg(F.collect_set(F.when(F.col("kind") == 1, F.col("y"))).alias("sure"), F.collect_set(F.when(F.col("kind") > 1, F.col("y"))).alias("may"))
+    return of.select(F.col("x").alias("word"), F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.concat(F.array("x"), "may")).alias("one"))
 
 
 def run_table(words: DataFrame, spells: DataFrame) -> DataFrame:
-    """(word, two array<struct<x, y>>): long rare words that are two others run together, each within its allowed edits and both within two. words: word, n; spells: as spelling_table gives it."""
+    """(word, two array<struct<x, y>>): long rare words that are two others run together, each within its allowed edits and both within two. words: word, n; spells: word, one."""
     slips = spells.where(~F.array_contains("one", F.col("word"))).select("word")
     own = words.join(slips, "word", "left_anti")
     wholes = own.where((F.length("word") >= 8) & (F.col("n") < OWN))
@@ -423,7 +435,7 @@ def run_table(words: DataFrame, spells: DataFrame) -> DataFrame:
 def sense_table(words: DataFrame) -> DataFrame:
     """(word, one, two): the words that do not only stand for themselves, see spelling_table and run_table. words: word, n."""
     long = words.where(F.length("word") >= 4)
-    spells = materialize(spelling_table(long, near_table(long)), "spells")
+    spells = materialize(spelling_table(near_table(long)), "spells")
     return materialize(spells.join(run_table(long, spells), "word", "full"), "senses")
 
 
@@ -435,7 +447,7 @@ def _senses(rows) -> Senses:
 
 
 def near_names(names: DataFrame) -> DataFrame:
-    """(site, a, b), a < b: the looks of a site whose names `same` links. names: site, look, words, numbers, category, one row per site and look."""
+    """(site, a, b), a < b: the looks of a site whose names `same` links. names: site, look, words, numbers, category; several names may look the same."""
     words = materialize(names.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     lex = lexicon(names, words)
     senses = sense_table(words)
@@ -491,14 +503,12 @@ def variants(places: DataFrame) -> DataFrame:
     distinct = p.groupBy("site", "name").agg(F.max("category").alias("category"))
     looks = with_forms(distinct, form="name").withColumn("look", F.lower("form")).where(F.length("look") > 0)
     looks = materialize(parsed(looks.select("site", "name", "look", "category")), "looks")
-    one = looks.groupBy("site", "look").agg(F.max(F.struct("name", "words", "numbers")).alias("r"), F.max("category").alias("category"))
-    one = materialize(one.select("site", "look", "category", "r.words", "r.numbers"), "names")
-    families = closed(materialize(near_names(one), "links"))
+    families = closed(materialize(near_names(looks), "links"))
     a, b = families.withColumnRenamed("look", "la"), families.withColumnRenamed("look", "lb")
     pairs = a.join(b, ["site", "family"]).where("la < lb").select("site", "la", "lb")
-    members = p.join(looks.select("site", "name", "look"), ["site", "name"]).select("site", "look", "id").distinct()
-    tied = materialize(members.join(families.select("site", "look"), ["site", "look"], "left_semi"), "members")
-    ids = pairs.join(tied.select("site", F.col("look").alias("la"), F.col("id").alias("x")), ["site", "la"]).join(tied.select("site", F.col("look").alias("lb"), F.col("id").alias("y")), ["site", "lb"])
+    tied = looks.select("site", "look", "name").join(families.select("site", "look"), ["site", "look"], "left_semi")
+    members = materialize(p.select("id", "site", "name").join(tied, ["site", "name"]).select("site", "look", "id").distinct(), "members")
+    ids = pairs.join(members.select("site", F.col("look").alias("la"), F.col("id").alias("x")), ["site", "la"]).join(members.select("site", F.col("look").alias("lb"), F.col("id").alias("y")), ["site", "lb"])
     return ids.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -42,3 +42,15 @@ def test_found(spark, rows):
     p = spark.createDataFrame([("a", "Cafe"), ("a", "Cafe"), ("b", None)], "id string, name string")
     assert rows(look_alikes(r, p)) == [(1, "a"), (7, "a")]
     assert rows(look_alikes(r.limit(0), p.limit(0))) == []
+
+
+def test_plain_ascii_is_its_own_form(spark):
+    import duckdb
+
+    from geolathe.llm.glyphs import form_sql
+
+    texts = [a + b for a in map(chr, range(33, 127)) for b in ("", "x", " a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (v VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?)", [(t,) for t in texts])
+    assert con.sql(f"SELECT v FROM src WHERE ({form_sql('v')}) <> v").fetchall() == []

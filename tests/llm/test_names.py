@@ -127,7 +127,7 @@ def test_frequent_words_near_each_other_are_two_words(spark, rows):
 
 def test_spelling_and_run_tables(spark, rows):
     words = spark.createDataFrame([("fedarim", 60), ("fedamir", 60), ("fedarrim", 2), ("kibratix", 3), ("kibratixx", 2), ("fedarimkibratix", 1), ("kibratifedarrim", 1)], "word string, n bigint")
-    spells = N.spelling_table(words, N.near_table(words))
+    spells = N.spelling_table(N.near_table(words))
     assert {(w, tuple(sorted(o))) for w, o in rows(spells)} == {("fedarrim", ("fedarim",)), ("kibratix", ("kibratix", "kibratixx")), ("kibratixx", ("kibratix", "kibratixx"))}
     two = {w: {tuple(p) for p in t} for w, t in rows(N.run_table(words, spells))}
     assert ("fedarim", "kibratix") in two["fedarimkibratix"] and ("fedarim", "kibratix") in two["kibratifedarrim"]
@@ -137,7 +137,7 @@ def test_blocks_of_one_length_meet(spark, rows, monkeypatch):
     r = random.Random(3)
     some = sorted({"".join(r.choice("abc") for _ in range(r.randint(4, 8))) for _ in range(300)})
     want = sorted((x, y, osa(x, y)) for x in some for y in some if x < y and osa(x, y) <= min(trie.allowed(x), trie.allowed(y)))
-    words = spark.createDataFrame([(w,) for w in some], "word string")
-    assert rows(N.near_table(words)) == want
+    words = spark.createDataFrame([(w, len(w)) for w in some], "word string, n bigint")
+    assert rows(N.near_table(words), "x", "y", "d") == want
     monkeypatch.setattr(N, "BLOCK", 20)
-    assert rows(N.near_table(words)) == want
+    assert rows(N.near_table(words), "x", "y", "d") == want
