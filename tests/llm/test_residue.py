@@ -1,10 +1,14 @@
 """Residue: evidence in several languages, sentences that only speak about it, boilerplate and dirty rows."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
-from geolathe.llm.residue import FILTER, evidence, line_evidence, mended, residue
+from geolathe.llm.residue import ERRORS, FILLERS, FILTER, SCRIPTS, _repeats, evidence, line_evidence, mended, residue
 
 YES = [
     ("field", "This patent concerns {{inventor_list}}."), ("field", "[0003] ${abstract}"), ("field", "Ref. <filing_date goes here> / [title – to be completed]"), ("field", "1. [INSERT title HERE]"), ("field", "[hier Titel einsetzen]"), ("field", "__pub_number__"),
@@ -61,7 +65,45 @@ def test_boilerplate_is_subtracted_but_not_from_pages_of_nothing_else(spark, row
 SAMPLES = ["405 Method Not Allowed", "301 Moved Permanently", "402 Payment Required", "Undefined index", "Access to this record has been restricted.", "Access to this page is blocked.", "Le document demandé n'a pas été trouvé.", "Le document demandé n’existe pas.", "Dịch vụ hiện không hoạt động.", "访问的页面已删除。", "访问的页面已移除。", "会话已超时。", "登录已失效。", "无权访问。", "Scripting is disabled.", "Example title", "Example abstract.", "Example description", "<claims go here>", "< FIELD_NAME >", "<title>404</title>", "N.N."]
 
 
-@pytest.mark.parametrize("text", [t for _, t in YES] + SAMPLES)
+MORE = [
+    ("error", "[0005] Loading…"), ("error", "[object Object] undefined undefined NaN"), ("error", "Der Dienst ist vorübergehend nicht verfügbar."), ("error", "[0006] java.lang.NullPointerException"), ("error", "[0004] Traceback (most recent call last):"),
+    ("error", "HTTP/1.1 301 Moved Permanently"), ("error", "405 Method Not Allowed"), ("error", "402 Payment Required"), ("error", "<title>404</title>"), ("error", "Undefined index"), ("error", "404 Not Found"),
+    ("error", "Coming soon"), ("error", "Sorry, we couldn't find that page."), ("error", "La página que busca no existe"), ("error", "ページが見つかりません。"), ("error", "페이지를 찾을 수 없습니다."), ("script", "JavaScriptを有効にしてください。"), ("script", "자바스크립트를 활성화해 주세요."),
+    ("field", "[TITLE]"), ("field", "{abstract}"), ("field", "$NAME$"), ("field", "%TITLE%"), ("field", "Dear [COMPANY NAME],"), ("filler", "ここにテキストを入力"),
+]
+
+
+@pytest.mark.parametrize("kind,text", MORE)
+def test_more_evidence(kind, text):
+    assert line_evidence(text) == kind
+
+
+@pytest.mark.parametrize("text", [r"$F = \frac{2 \cdot m}{r^{2}}$", r"\text{if} x", "{x | x ≥ 89} ∪ {y}", "x_{max}", "The loading of the platform is limited to 3 t.", "a set {a, b}", "[SUMMARY OF 12]", "The page under construction is printed first.", "[math: a]", "[0012] A null value is stored."])
+def test_formulas_and_speech_are_none(text):
+    assert line_evidence(text) is None
+
+
+def test_messages_over_two_lines(spark, rows):
+    good = "Pump\nABSTRACT\nA pump comprises a ring.\nCLAIMS\n1. A pump."
+    data = [(1, good + "\nPlease enable\nJavaScript to read the text.", "s", 0, ""), (2, good + "\nThis text is long.\nJavaScript", "s", 0, ""), (3, "Please try\r\nagain later.", "s", 0, ""), (4, good, "s", 0, "")]
+    assert rows(residue(spark.createDataFrame(data, D))) == [(1, ["script"]), (3, ["error"])]
+
+
+@pytest.mark.parametrize("pattern", range(len([*ERRORS, *SCRIPTS, *FILLERS])))
+def test_filter_passes_what_any_pattern_matches(pattern):
+    p = [*ERRORS, *SCRIPTS, *FILLERS][pattern]
+    letters = st.characters(codec="utf-8", exclude_categories=["Cs", "Cc"])
+
+    @settings(max_examples=6, deadline=None, derandomize=True, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(p, re.I), alphabet=letters))
+    def check(text):
+        a = pa.array([text])
+        assert pc.match_substring_regex(a, FILTER)[0].as_py() or _repeats(a)[0]
+
+    check()
+
+
+@pytest.mark.parametrize("text", [t for _, t in YES + MORE] + SAMPLES)
 def test_filter_passes_what_is_evidence(text):
     passes = pc.match_substring_regex(pa.array([text]), FILTER)[0].as_py()
     assert passes or not line_evidence(text)
