@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolathe.session import ship
+from geolathe.session import numbered, ship
 
 Rule = tuple[str, str, Sequence[str], Sequence[str]]  # type, group, patterns, patterns that rule it out
 
@@ -132,7 +132,6 @@ def first_tag(tags: Column, keys: Sequence[str], default: str = "unknown") -> Co
 def problems(df: DataFrame, key: str, order: str, checks: dict[str, Column]) -> DataFrame:
     """key, line, problem: one row for each check that fails, and for each repeated key from its second row on. Lines count from 2, below a header."""
     w = Window.partitionBy(key).orderBy(order)
-    n = Window.orderBy(order)
-    d = df.withColumn("_rep", F.row_number().over(w)).withColumn("line", F.row_number().over(n) + 1)
+    d = numbered(df.withColumn("_rep", F.row_number().over(w)), "line", order).withColumn("line", F.col("line") + 1)
     all_ = F.array_compact(F.array(F.when(F.col("_rep") > 1, F.lit("duplicate")), *[F.when(bad, F.lit(msg)) for msg, bad in checks.items()]))
     return d.select(key, "line", F.explode(all_).alias("problem"))

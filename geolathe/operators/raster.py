@@ -256,3 +256,43 @@ def kmeans_ranked(df: DataFrame, col: str, k: int, by_size: bool = True, seed: i
     rank = F.create_map(*[x for r, i in enumerate(order) for x in (F.lit(i), F.lit(r))])
     got = model.transform(vec).withColumn("cluster", rank[F.col("_c")]).drop("_v", "_c")
     return got.unionByName(df.where(F.col(col).isNull()).withColumn("cluster", F.lit(None).cast("int")))
+
+
+def warp(pixels: DataFrame, value: str, origin: tuple[float, float], size: float, to: DataFrame, inverse) -> DataFrame:
+    """Nearest-neighbour resampling onto another grid: row, col of `to` with the value of the source pixel below its centre, NULL outside or without data.
+
+    pixels: row, col, value, counted from the upper left `origin`; to: row, col, x, y, its own centres; inverse takes the Columns x
+    and y to source coordinates. Declared as one equi-join, so either grid may be of any size.
+    """
+    sx, sy = inverse(F.col("x"), F.col("y"))
+    at = to.select("row", "col", F.floor((F.lit(origin[1]) - sy) / size).cast("int").alias("_r"), F.floor((sx - origin[0]) / size).cast("int").alias("_c"))
+    src = pixels.select(F.col("row").alias("_r"), F.col("col").alias("_c"), value)
+    return at.join(src, ["_r", "_c"], "left").select("row", "col", value)
+
+
+def grid(spark, rows: int, cols: int, origin: tuple[float, float], size: float) -> DataFrame:
+    """row, col and the centre x, y of every pixel of a grid."""
+    g = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    return g.withColumns({"x": F.lit(origin[0]) + (F.col("col") + 0.5) * size, "y": F.lit(origin[1]) - (F.col("row") + 0.5) * size})
+
+
+def clipped(pixels: DataFrame, ring: list[tuple[float, float]], origin: tuple[float, float], size: float) -> DataFrame:
+    """Pixels whose centre lies in a ring, rows and columns counted from the ring's own corner of the grid."""
+    from geolathe.functions import geom
+
+    xs, ys = zip(*ring)
+    r0, c0 = int((origin[1] - max(ys)) // size), int((min(xs) - origin[0]) // size)
+    line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    x, y = F.lit(origin[0]) + (F.col("col") + 0.5) * size, F.lit(origin[1]) - (F.col("row") + 0.5) * size
+    box = F.col("row").between(r0, int((origin[1] - min(ys)) // size)) & F.col("col").between(c0, int((max(xs) - origin[0]) // size))
+    return pixels.where(box & geom.in_ring(x, y, line)).withColumns({"row": F.col("row") - r0, "col": F.col("col") - c0})
+
+
+def patches(pixels: DataFrame, classes: list[int], tree: int, pixel_area: float, min_area: float) -> DataFrame:
+    """patch, n, area_ha, tree_share of each 4-connected region of pixels of the classes that has at least min_area hectares. pixels: id, row, col, cls; a patch is named by its least id."""
+    from geolathe.operators import graph
+
+    green = pixels.where(F.col("cls").isin(*classes)).select("id", "row", "col", "cls")
+    of = graph.components(green.select(F.col("id").alias("node")), neighbours(green))
+    p = green.join(of, F.col("id") == F.col("node")).groupBy(F.col("component").alias("patch")).agg(F.count("*").alias("n"), F.avg((F.col("cls") == tree).cast("double")).alias("tree_share"))
+    return p.withColumn("area_ha", F.col("n") * pixel_area / 10_000).where(F.col("area_ha") >= min_area)

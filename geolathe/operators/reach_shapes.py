@@ -76,23 +76,76 @@ def outline(tris: np.ndarray) -> list[int] | None:
     return ring if len(ring) == len(step) else None
 
 
+class _Region:
+    """Triangles added one by one, with what tells whether they form one region without holes or pinches over all points."""
+
+    def __init__(self, n: int):
+        self.of: dict[tuple[int, int], int] = {}  # edge -> the first triangle on it
+        self.parent: list[int] = []
+        self.sides = [0] * n  # border edges at each point
+        self.odd = self.parts = self.edges = 0
+        self.bare = n
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def _turn(self, v: int, by: int) -> None:
+        self.odd -= self.sides[v] not in (0, 2)
+        self.sides[v] += by
+        self.odd += self.sides[v] not in (0, 2)
+
+    def add(self, tri, met: set[int]) -> None:
+        me = len(self.parent)
+        self.parent.append(me)
+        self.parts += 1
+        self.bare -= len(set(tri) - met)
+        met.update(tri)
+        for k in range(3):
+            e = tuple(sorted((tri[k], tri[k - 1])))
+            other = self.of.setdefault(e, me)
+            for v in e:
+                self._turn(v, 1 if other == me else -1)
+            if other == me:
+                self.edges += 1
+            elif (r := self.root(other)) != self.root(me):
+                self.parent[r] = self.root(me)
+                self.parts -= 1
+
+    def simple(self, points: int) -> bool:
+        """One part over all points, every border point on two border edges, and no hole by Euler's count."""
+        return not self.bare and self.parts == 1 and not self.odd and points - self.edges + len(self.parent) == 1
+
+
 def concave(xy: np.ndarray, start_percentile: int = 85) -> np.ndarray | None:
-    """Ring of the triangles whose circumradius is at most a percentile of all, raised until they form one region that touches every point."""
+    """Ring of the triangles whose circumradius is at most a percentile of all, raised until they form one region that touches every point.
+
+    The triangles are sorted once; each step only adds those that the next percentile lets in.
+    """
     p = np.unique(xy, axis=0)
-    if len(p) < 3:
-        return None
-    t = delaunay(p)
+    t = delaunay(p) if len(p) > 2 else []
     if not len(t):
         return None
-    a = np.linalg.norm(p[t[:, 1]] - p[t[:, 2]], axis=1)
-    b = np.linalg.norm(p[t[:, 0]] - p[t[:, 2]], axis=1)
-    c = np.linalg.norm(p[t[:, 0]] - p[t[:, 1]], axis=1)
-    area = np.abs((p[t[:, 1], 0] - p[t[:, 0], 0]) * (p[t[:, 2], 1] - p[t[:, 0], 1]) - (p[t[:, 1], 1] - p[t[:, 0], 1]) * (p[t[:, 2], 0] - p[t[:, 0], 0])) / 2
-    with np.errstate(divide="ignore"):
-        radius = np.where(area > 1e-9, a * b * c / (4 * np.maximum(area, 1e-12)), np.inf)
+    side = [((p[t[:, i]] - p[t[:, j]]) ** 2).sum(1) for i, j in ((0, 1), (1, 2), (2, 0))]
+    u, v = p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
+    cross = (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) ** 2
+    thin = cross <= 4e-18
+    size = np.sqrt(side[0] * side[1] * side[2] / np.where(thin, 1.0, 4 * cross))
+    size[thin] = np.inf
+    order = np.argsort(size, kind="stable")
+    ranked = size[order]
+    region, met, done = _Region(len(p)), set(), 0
     for q in range(start_percentile, 101):
-        keep = t[radius <= np.percentile(radius, q)] if q < 100 else t
-        if len(np.unique(keep)) == len(p) and (ring := outline(keep)) is not None:
+        at = (len(t) - 1) * q / 100
+        low = int(at)
+        bound = ranked[low] if at == low else ranked[low] + (at - low) * (ranked[min(low + 1, len(t) - 1)] - ranked[low])
+        upto = len(t) if q == 100 else int(np.searchsorted(ranked, bound, "right"))
+        for k in order[done:upto]:
+            region.add(t[k].tolist(), met)
+        done = max(done, upto)
+        if region.simple(len(p)) and (ring := outline(t[order[:done]])) is not None:
             return p[ring]
     h = hull(p)
     return h if len(h) >= 3 else None

@@ -110,3 +110,17 @@ def touching_lines(lines: DataFrame, key: str, tolerance: float = 0.01, size: fl
     len1, len2 = F.hypot(s1[2] - s1[0], s1[3] - s1[1]), F.hypot(s2[2] - s2[0], s2[3] - s2[1])
     got = p.withColumn("m", meet).where(F.col("m.d") <= tolerance)
     return got.select(F.col("k_1").alias("a"), F.col("k_2").alias("b"), (F.abs(F.col("m.t") - 0.5) * len1 + F.abs(F.col("m.u") - 0.5) * len2).alias("metric"))
+
+
+def within_or_near(points: DataFrame, regions: DataFrame, key: str, region: str, gap: float, *, size: float = 100.0) -> DataFrame:
+    """key, region, gap: the least region that holds a point, else the nearest whose border is at most `gap` away, else NULL; the distance to it, 0 inside.
+
+    points: key, x, y; regions: region, geom. One row per point row.
+    """
+    ring = F.get("geom", F.lit(0))
+    box = geom.bounds(ring)
+    cells = _over(box["x0"] - gap, box["y0"] - gap, box["x1"] + gap, box["y1"] + gap, size, regions.where("geom is not null and size(geom) > 0").select(region, "geom"))
+    hit = points.select(key, "x", "y", *bucket(F.col("x"), F.col("y"), size)).join(cells, ["bx", "by"])
+    far = F.when(geom.in_polygon(F.col("x"), F.col("y"), F.col("geom")), 0.0).otherwise(F.round(geom.ring_distance(F.col("x"), F.col("y"), ring), 6))
+    best = hit.select(key, region, far.alias("gap")).where(F.col("gap") <= gap).groupBy(key).agg(F.min(F.struct("gap", region)).alias("m"))
+    return points.select(key).join(best, key, "left").select(key, F.col(f"m.{region}").alias(region), F.col("m.gap").alias("gap"))

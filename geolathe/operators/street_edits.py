@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geolathe.functions import geom
 from geolathe.operators.spatial import _over, bucket
+from geolathe.session import numbered
 
 
 def snapped_ends(sketch: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
@@ -58,7 +59,7 @@ def joined(nodes: DataFrame, edges: DataFrame, sketch: DataFrame, *, tolerance:
     top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     line = lambda: F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
     old = edges.select("id", line().alias("geom"))
-    new = m.crossJoin(F.broadcast(top)).select((F.col("top") + 1 + F.row_number().over(Window.orderBy("id")) - 1).alias("id"), "geom")
+    new = numbered(m.select("id", "geom"), "n", "id").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "geom")
     if crossings:
         pieces = node_lines(old.unionByName(new), snap=0.01)
     else:
@@ -72,7 +73,7 @@ def joined(nodes: DataFrame, edges: DataFrame, sketch: DataFrame, *, tolerance:
     p = pieces.withColumns({"ka": key(F.col("ax"), F.col("ay")), "kb": key(F.col("bx"), F.col("by"))})
     loose = p.select(F.col("ka").alias("k"), F.col("ax").alias("x"), F.col("ay").alias("y")).union(p.select("kb", "bx", "by")).groupBy("k").agg(F.min("x").alias("x"), F.min("y").alias("y")).join(known, "k", "left_anti")
     least = nodes.agg(F.least(F.coalesce(F.min("node"), F.lit(0)), F.lit(0)).alias("least"))
-    fresh = loose.crossJoin(F.broadcast(least)).select("k", (F.col("least") - F.row_number().over(Window.orderBy("k"))).alias("node"), "x", "y")
+    fresh = numbered(loose, "n", "k").crossJoin(F.broadcast(least)).select("k", (F.col("least") - F.col("n")).alias("node"), "x", "y")
     names = known.unionByName(fresh.select("k", "node"))
     total = pieces.groupBy("line").agg(F.sum("length").alias("total"))
     q = p.join(names.select(F.col("k").alias("ka"), F.col("node").alias("u")), "ka").join(names.select(F.col("k").alias("kb"), F.col("node").alias("v")), "kb").join(total, "line")
@@ -93,7 +94,7 @@ def added_line(lines: DataFrame, points: tuple[float, float, float, float], tole
     ax, ay, bx, by = points
     one = lines.sparkSession.createDataFrame([(0, [(ax, ay), (bx, by)])], "id bigint, geom array<struct<x:double,y:double>>")
     e = F.explode(F.array(F.get("geom", F.lit(0)), F.element_at("geom", -1))).alias("p")
-    nodes = lines.select("id", e).select(F.dense_rank().over(Window.orderBy("p")).cast("long").alias("node"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+    nodes = numbered(lines.select(e).distinct().select("p.x", "p.y"), "node", "x", "y")
     segs = lines.select("id", F.get("geom", F.lit(0)).alias("a"), F.element_at("geom", -1).alias("b")).select("id", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
     m = moved(one, snapped_ends(one, nodes, segs, tolerance))
     top = lines.agg(F.max("id").alias("top"))

@@ -81,13 +81,13 @@ def gr4_reach(spark, d):
     return f.join(r, f.node == r["at"]).select("source", r["node"], "dist")
 
 
-@query(f"""WITH RECURSIVE {STREETS}, {FAC}, f0 AS (SELECT node, min(source) AS source FROM fac WHERE source % 5 = 0 GROUP BY 1),
+@query(f"""WITH RECURSIVE {STREETS}, {FAC}, f0 AS (SELECT node, min(source) AS source FROM fac GROUP BY 1),
     r(node, dist, source) USING KEY (node) AS (SELECT node, 0.0::DOUBLE, source FROM f0 UNION
     SELECT v, (m).d, (m).s FROM (SELECT a.v, min(struct_pack(d := r.dist + a.w, s := r.source)) AS m, min(struct_pack(d := old.dist, s := old.source)) AS o FROM r JOIN arcs a ON a.u = r.node LEFT JOIN recurring.r AS old ON old.node = a.v WHERE r.dist + a.w <= 1200 GROUP BY a.v) WHERE o IS NULL OR m < o)
     SELECT node, dist, source FROM r""")
 def gr5_nearest_facility(spark, d):
     """Owner and distance of every junction within 1200 m."""
-    return G.nearest_source(G.two_way(_net(spark, d).select("u", "v", "w")), _facilities(spark, d).where("source % 5 = 0"), 1200.0)
+    return G.nearest_source(G.two_way(_net(spark, d).select("u", "v", "w")), _facilities(spark, d), 1200.0)
 
 
 @query(f"""WITH {STREETS}, b AS (SELECT id, u, v, ((atan2(vy - uy, vx - ux) * 180 / pi()) % 180 + 180) % 180 AS br FROM streets), i AS (SELECT id, u AS n, br FROM b UNION ALL SELECT id, v, br FROM b),

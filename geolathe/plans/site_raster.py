@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from geolathe.operators import graph as G
 from geolathe.operators import raster as R
 from geolathe.plans.base import PIXELS, SPOTS, pixels, spots
-from geolathe.session import table
+from geolathe.session import shared_dir, table
+from geolathe.sources import writers
 
 QUERIES, SQL = {}, {}
 
@@ -123,10 +126,10 @@ def src10_temporal_median(spark, d):
     return R.temporal_median(t, "v")
 
 
-@query(f"""WITH {PIXELS}, c AS (SELECT "row", col, cls FROM pixels WHERE "row" < 10 AND col < 20) SELECT f."row", f.col, coalesce(c.cls, 0) AS cls FROM pixels f LEFT JOIN c ON c."row" = floor((f."row" + 0.5) / 2.0) AND c.col = floor((f.col + 0.5) / 2.0)""")
+@query(f"""WITH {PIXELS}, c AS (SELECT "row", col, cls FROM pixels) SELECT f."row", f.col, coalesce(c.cls, 0) AS cls FROM pixels f LEFT JOIN c ON c."row" = floor((f."row" + 0.5) / 2.0) AND c.col = floor((f.col + 0.5) / 2.0)""")
 def j14_aligned(spark, d):
     p = pixels(spark, d)
-    return R.align(p, p.where("row < 10 and col < 20"), 2.0, "cls")
+    return R.align(p, p, 2.0, "cls")
 
 
 @query(f"""WITH {PIXELS}, p AS (SELECT c_custkey AS id, c_custkey * 7919 % 1200 + 0.5 AS x, 1000.0 - c_custkey * 104729 % 1100 AS y FROM customer),
@@ -192,6 +195,44 @@ def a13_green_share(spark, d):
     return p.agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.col("green").cast("double")), 6).alias("green_pct"), F.round(F.sum(F.when(F.col("green"), 100.0).otherwise(0.0)) / 10000, 4).alias("green_ha"))
 
 
+def _land(spark, d):
+    """The raster with land classes in blotches, two of them green."""
+    r, c = F.col("row"), F.col("col")
+    return pixels(spark, d).select("id", "row", "col", F.when((r % 6 < 4) & (c % 9 < 6) & ~((r % 6 == 2) & (c % 9 == 3)), F.when((r + c) % 3 == 0, 10).otherwise(20)).otherwise(50).alias("cls"))
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, land AS (SELECT id, "row", col, CASE WHEN "row" % 6 < 4 AND col % 9 < 6 AND NOT ("row" % 6 = 2 AND col % 9 = 3) THEN CASE WHEN ("row" + col) % 3 = 0 THEN 10 ELSE 20 END ELSE 50 END AS cls FROM pixels),
+    g AS (SELECT * FROM land WHERE cls IN (10, 20)), adj AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a."row" = b."row" AND b.col = a.col + 1 UNION ALL SELECT b.id, a.id FROM g a JOIN g b ON a."row" = b."row" AND b.col = a.col + 1
+      UNION ALL SELECT a.id, b.id FROM g a JOIN g b ON a.col = b.col AND b."row" = a."row" + 1 UNION ALL SELECT b.id, a.id FROM g a JOIN g b ON a.col = b.col AND b."row" = a."row" + 1),
+    r(id, root) AS (SELECT id, id FROM g UNION SELECT adj.b, r.root FROM r JOIN adj ON adj.a = r.id WHERE adj.b > r.root), lab AS (SELECT id, min(root) AS patch FROM r GROUP BY 1)
+    SELECT patch, count(*) AS n, round(avg(CASE WHEN cls = 10 THEN 1.0 ELSE 0.0 END), 9) AS tree_share, round(count(*) * 100.0 / 10000, 6) AS area_ha FROM lab JOIN g USING (id) GROUP BY 1 HAVING count(*) * 100.0 / 10000 >= 0.05""")
+def a13_patches(spark, d):
+    """Green patches of at least a twentieth of a hectare."""
+    p = R.patches(_land(spark, d), [10, 20], 10, 100.0, 0.05)
+    return p.select("patch", "n", F.round("tree_share", 9).alias("tree_share"), F.round("area_ha", 6).alias("area_ha"))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT CAST(i // 80 AS INTEGER) AS "row", CAST(i % 80 AS INTEGER) AS col FROM range(4800) r(i)), c AS (SELECT "row", col, 3.0 + (col + 0.5) * 12.5 AS x, 990.0 - ("row" + 0.5) * 12.5 AS y FROM t),
+    k AS (SELECT "row", col, CAST(floor((1000.0 - (0.8 * y + 0.6 * x - 180.0)) / 10) AS INTEGER) AS r_, CAST(floor((0.8 * x - 0.6 * y + 400.0) / 10) AS INTEGER) AS c_ FROM c)
+    SELECT k."row", k.col, p.z FROM k LEFT JOIN pixels p ON p."row" = k.r_ AND p.col = k.c_""")
+def m13_warped(spark, d):
+    """The heights on a coarser grid that is turned against the first."""
+    to = R.grid(spark, 60, 80, (3.0, 990.0), 12.5)
+    return R.warp(pixels(spark, d), "z", (0.0, 1000.0), 10.0, to, lambda x, y: (0.8 * x - 0.6 * y + 400.0, 0.8 * y + 0.6 * x - 180.0))
+
+
+@query(f"""WITH {PIXELS} SELECT "row", col, CAST(z AS FLOAT) AS z FROM pixels""")
+def snk2_raster(spark, d):
+    """The heights written as 32-bit floats and read again."""
+    return writers.write_raster(pixels(spark, d), "z", f"{shared_dir(spark)}/raster-{uuid.uuid4().hex}", origin=(0.0, 1000.0), size=10.0, epsg=32649)
+
+
+@query(f"""WITH {PIXELS}, m AS (SELECT max("row") AS top FROM pixels) SELECT "row", string_agg(coalesce(CAST(p.cls AS VARCHAR), '-9999'), ' ' ORDER BY c.col) AS line FROM (SELECT DISTINCT "row" FROM pixels) r CROSS JOIN (SELECT CAST(i AS INTEGER) AS col FROM range(100) t(i)) c LEFT JOIN pixels p USING ("row", col) GROUP BY 1""")
+def snk2_grid_lines(spark, d):
+    """Each row of the classes as a line of a text grid."""
+    return writers.grid_lines(pixels(spark, d), "cls", 100)
+
+
 @query()
 def a15_kmeans(spark, d):
     p = pixels(spark, d).select("id", R.difference_index(F.col("b08").cast("double"), F.col("b04").cast("double")).alias("delta"))

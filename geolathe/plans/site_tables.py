@@ -331,11 +331,10 @@ def m7_utm(spark, d):
     return p.select("id", F.round(e, 2).alias("easting"), F.round(n, 2).alias("northing"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(title, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', ' ', 'g')) AS folded FROM (SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '[^\\x{20}-\\x{24F}\\x{1E00}-\\x{1EFF}]', '', 'g') AS title FROM documents WHERE text IS NOT NULL) WHERE NOT regexp_matches(title, '[^ -~À-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ]') AND NOT regexp_matches(title, '[ßÆæØøÐðÞþ×÷]')")
+@query()
 def f2_folded(spark, d):
     """Names folded to ASCII words."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.split("text", "\n")[0], r"[^\x{20}-\x{24F}\x{1E00}-\x{1EFF}]", "").alias("title"))
-    t = t.where(~F.col("title").rlike("[^ -~À-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ]") & ~F.col("title").rlike("[ßÆæØøÐðÞþ×÷]"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n")[0].alias("title"))
     return t.select("doc_id", P.fold_ascii(F.col("title")).alias("folded"))
 
 
@@ -345,16 +344,12 @@ def f1_slug(spark, d):
 
 
 RULES = [("Pharmacy", "Health", ["pharmacy", "apotheke", "nhà thuốc", "farmacia"], []), ("School", "Education", ["school", "grundschule", "trường tiểu học"], ["nursery"]), ("Cafe", "Food", ["coffee", "cà phê", "kaffeehaus"], [])]
-_any = lambda t, ps: "(" + " OR ".join(f"' ' || {t} || ' ' LIKE '% {p} %'" for p in ps) + ")" if ps else "false"
-_hit = lambda inc, exc: f"({_any('f', [p for p in inc if p.isascii()])} OR {_any('a', [p for p in inc if not p.isascii()])}) AND NOT {_any('f', exc)}"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT name FROM places WHERE name IS NOT NULL AND NOT regexp_matches(name, '[^ -~À-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ]') AND NOT regexp_matches(name, '[ßÆæØøÐðÞþ×÷]')),
-    t AS (SELECT name, trim(regexp_replace(lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', ' ', 'g')) AS f, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS a FROM n)
-    SELECT name, {"CASE WHEN f = '' THEN NULL " + ' '.join(f"WHEN {_hit(i, e)} THEN '{t}'" for t, g, i, e in RULES) + " END"} AS type FROM t""")
+@query()
 def f3_rules(spark, d):
     """Type by the first rule whose whole words stand in the name."""
-    n = table(spark, d, "places").where(F.col("name").isNotNull() & ~F.col("name").rlike("[^ -~À-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ]") & ~F.col("name").rlike("[ßÆæØøÐðÞþ×÷]")).select("name").distinct()
+    n = table(spark, d, "places").where("name is not null").select("name").distinct()
     return P.type_by_name(n, RULES).select("name", "type")
 
 
@@ -384,3 +379,35 @@ def x1_windowed(spark, d):
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "_batch").alias("v"))
     return last.select(F.col("window_start").cast(src.schema["ts"].dataType).alias("window_start"), "event_type", "v.n", F.round("v.total", 4).alias("total"))
+
+
+@query(f"""WITH {SPOTS}, {AREAS}, pts AS (SELECT id, x, y FROM spots), {HELD},
+    inside AS (SELECT id, min(zone_id) AS zone_id, 0.0 AS gap FROM held GROUP BY 1),
+    segs AS (SELECT p.id, e.zone_id, p.x, p.y, e.ax, e.ay, e.bx - e.ax AS dx, e.by - e.ay AS dy FROM pts p JOIN boxes b ON p.x BETWEEN b.x0 - 20 AND b.x1 + 20 AND p.y BETWEEN b.y0 - 20 AND b.y1 + 20
+      JOIN edges_ e ON e.zone_id = b.zone_id AND e.ring = 1 WHERE p.id NOT IN (SELECT id FROM inside)),
+    feet AS (SELECT id, zone_id, x, y, ax, ay, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM segs),
+    near AS (SELECT id, zone_id, min(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)) AS gap FROM feet GROUP BY ALL HAVING gap <= 20),
+    one AS (SELECT id, arg_min(zone_id, (round(gap, 6), zone_id)) AS zone_id, round(min(gap), 6) AS gap FROM near GROUP BY 1)
+    SELECT p.id, coalesce(i.zone_id, o.zone_id) AS zone_id, coalesce(i.gap, o.gap) AS gap FROM pts p LEFT JOIN inside i USING (id) LEFT JOIN one o USING (id)""")
+def j16_within_or_near(spark, d):
+    """The zone that holds each place, else the nearest within 20 m, else none."""
+    return S.within_or_near(spots(spark, d).select("id", "x", "y"), areas(spark, d).select("zone_id", "geom"), "id", "zone_id", 20.0)
+
+
+@query("SELECT layer, epsg FROM (VALUES ('nodes', 32649), ('places', 32649), ('zones', 32649)) t(layer, epsg)")
+def pf9_crs(spark, d):
+    """The one system of three layers, from their schemas."""
+    layers = {n: R.with_crs(table(spark, d, n), c, 32649) for n, c in (("places", "geometry"), ("nodes", "x"), ("zones", "geom"))}
+    cols = {"places": "geometry", "nodes": "x", "zones": "geom"}
+    epsg = R.same_crs({n: R.crs_of(df, cols[n]) for n, df in layers.items()})
+    return spark.createDataFrame([(n, epsg) for n in sorted(layers)], "layer string, epsg int")
+
+
+@query("""WITH r AS (SELECT review_seq, max(amenity_type) AS types, max(note) AS score, max(CAST(auto_keep AS VARCHAR)) AS third, max(functional_group) AS g FROM pois_review GROUP BY 1)
+    SELECT review_seq, [trim(x, ' ') for x in string_split(coalesce(types, ''), '|') if trim(x, ' ') <> ''] AS types, TRY_CAST(score AS DOUBLE) AS score,
+    coalesce(TRY_CAST(third AS DOUBLE), CASE WHEN g IN ('Food', 'Education', 'Health') THEN 0.0 ELSE 1.0 END) AS third_place FROM r""")
+def f5_row_structs(spark, d):
+    """Review rows as structs: lists, a score or its JSON, and the third-place rule."""
+    r = table(spark, d, "pois_review").groupBy("review_seq").agg(F.max("amenity_type").alias("types"), F.max("note").alias("score"), F.max(F.col("auto_keep").cast("string")).alias("third"), F.max("functional_group").alias("g"))
+    out = R.row_structs(r, "review_seq", ["types"], "score", "third", ["Food", "Education", "Health"], "g")
+    return out.select("review_seq", "info.types", "info.score", "info.third_place")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULTS = {
@@ -54,11 +55,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests) a folder of this machine."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine on a local master; elsewhere an error, as a machine's own folder would lose rows."""
     conf = spark.sparkContext.getConf()
     if d := conf.get("spark.checkpoint.dir", None):
         return d.rstrip("/")
     sc = spark.sparkContext
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(sc, "_geolathe_dir", None):
         sc._geolathe_dir = tempfile.mkdtemp(prefix="geolathe-shared-")
         atexit.register(shutil.rmtree, sc._geolathe_dir, True)
@@ -88,6 +91,16 @@ def _cleanup() -> None:
             pass
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a dense row number from 1 in the given order, without a task that sees all rows: sorted ranges are written, and each is shifted by the rows before it."""
+    i, part = "_geolathe_i", "_geolathe_p"
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    s = materialize(s.withColumns({part: F.spark_partition_id(), i: F.monotonically_increasing_id()}), "numbered")
+    size = s.groupBy(part).agg(F.count("*").alias("n"), F.min(i).alias("lo"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return s.join(F.broadcast(size.select(part, "lo", before.alias("before"))), part).withColumn(name, F.col("before") + F.col(i) - F.col("lo") + 1).drop(i, part, "lo", "before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

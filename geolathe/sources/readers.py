@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,51 @@ def joined_path(parts: Column, sep: str = " > ") -> Column:
     return F.array_join(parts, sep)
 
 
+MISSING = ("PATH_NOT_FOUND", "FAILED_READ_FILE.FILE_NOT_EXIST")
+
+
 def has_rows(df: DataFrame) -> bool:
-    """Whether a source answers with a row; reads no more than that."""
+    """Whether a source answers with a row; reads no more than that. A source that is not there counts as empty, any other error is raised."""
     try:
-        return bool(df.limit(1).take(1))
-    except Exception:  # noqa: BLE001 - an unreachable source counts as empty
-        return False
+        return bool(df.take(1))
+    except PySparkException as e:
+        if (e.getCondition() or "") in MISSING:
+            return False
+        raise
+
+
+def same_crs(epsg: dict[str, int | None]) -> int:
+    """The one metric system of several layers, by their EPSG numbers; an error names the layers without one, in degrees or that differ."""
+    bad = [n for n, e in epsg.items() if e is None]
+    if bad:
+        raise ValueError(f"no coordinate system: {', '.join(sorted(bad))}")
+    degrees = [n for n, e in epsg.items() if 4000 <= e < 5000]
+    if degrees:
+        raise ValueError(f"in degrees, not metres: {', '.join(sorted(degrees))}")
+    if len(set(epsg.values())) > 1:
+        raise ValueError("systems differ: " + ", ".join(f"{n} {e}" for n, e in sorted(epsg.items())))
+    return next(iter(epsg.values()))
+
+
+def with_crs(df: DataFrame, column: str, epsg: int) -> DataFrame:
+    """df whose geometry column carries its EPSG number in the schema."""
+    return df.withMetadata(column, df.schema[column].metadata | {"epsg": epsg})
+
+
+def crs_of(df: DataFrame, column: str) -> int | None:
+    return df.schema[column].metadata.get("epsg")
+
+
+def row_structs(df: DataFrame, key: str, lists: Sequence[str], score: str, third: str, groups: Sequence[str], group: str) -> DataFrame:
+    """key, info: a lookup row as a struct. Text lists are split at "|"; the score is a number, or the number `value` of a JSON object;
+    an empty third-place cell is 0.0 for the given groups and 1.0 for others. Raises if the key column is missing."""
+    if key not in df.columns:
+        raise ValueError(f"no column {key!r}; columns: {df.columns}")
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    value = F.coalesce(number(score), F.get_json_object(score, "$.value").cast("double"))
+    place = F.coalesce(number(third), F.when(F.col(group).isin(*groups), 0.0).otherwise(1.0))
+    return df.select(key, F.struct(*[parts(c).alias(c) for c in lists], value.alias("score"), place.alias("third_place")).alias("info"))
 
 
 def latest_release(listing: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -207,6 +207,24 @@ def test_concave_hull(spark):
     assert [(r["g"], r["area_ha"]) for r in reach_polygons(df, ["g"], "convex").collect()] == [(1, 0.5)]
 
 
+def test_concave_hull_touches_every_point_as_a_simple_ring():
+    from geolathe.operators.buildings import _area, hull
+    from geolathe.operators.reach_shapes import concave
+
+    rng = np.random.default_rng(9)
+    for n in (3, 5, 20, 80):
+        p = rng.uniform(0, 100, (n, 2))
+        r = concave(p)
+        assert len({tuple(v) for v in r}) == len(r) and 0 < _area(r) <= _area(hull(p)) * (1 + 1e-9)
+        # A point is on the ring or inside it: no point is left out.
+        ring = {tuple(v) for v in r}
+        for x, y in p:
+            if (x, y) not in ring:
+                inside = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, np.roll(r, -1, axis=0)))
+                assert inside % 2 == 1
+    assert concave(np.array([[0.0, 0.0], [1.0, 1.0]])) is None
+
+
 def test_sketches_join_the_network(spark):
     from geolathe.operators.street_edits import joined, snapped_ends, street_count
 

@@ -69,3 +69,39 @@ def test_null_release(spark):
     out = {(r["id"], r["release"]): r for r in fill_buildings(spark.createDataFrame(data, S)).collect()}
     x, y = out["x", None], out["y", None]
     assert x["is_height_filled"] and x["is_num_floors_filled"] and x["height"] > 15 and y["is_height_filled"] and 4 <= y["height"] <= 9
+
+
+def test_effects_are_fitted_jointly(spark):
+    """Sites hold very different classes, so a fit of one factor after the other would mix them; the joint one finds both."""
+    from geolathe.operators.impute import cell_effects
+
+    rng = np.random.default_rng(5)
+    site, cls, rel = {f"s{i}": rng.normal(0, 0.5) for i in range(12)}, {"a": 0.0, "b": 1.0, "c": -1.0}, {"r1": 0.0, "r2": 0.2}
+    data = []
+    for i, s in enumerate(site):
+        for c in cls:
+            for r in rel:
+                n = 40 if (i % 3 == "abc".index(c)) else 2
+                data += [(s, c, r, float(2 + site[s] + cls[c] + rel[r] + rng.normal(0, 0.05)), None, None) for _ in range(n)]
+    data.append(("new", "a", "r1", None, None, None))
+    pred, known = cell_effects(spark.createDataFrame(data, "site string, cls string, release string, lh double, lf double, lr double"))
+    got = {(r["site"], r["cls"], r["release"]): r["p_lh"] for r in pred.collect()}
+    assert known == {"lh": len(data) - 1, "lf": 0, "lr": 0} and len(got) == 12 * 6 + 1
+    assert max(abs(got[s, c, r] - 2 - site[s] - cls[c] - rel[r]) for s in site for c in cls for r in rel) < 0.12
+    assert abs(got["new", "a", "r1"] - 2 - np.mean(list(site.values()))) < 0.1
+
+
+def test_logit_is_at_its_maximum():
+    from geolathe.operators.impute import _steps, fit_logit
+
+    rng = np.random.default_rng(6)
+    area = np.exp(rng.normal(5, 1, 400))
+    y = (np.log(area) + rng.normal(0, 0.5, 400) > 5).astype(int)
+    x, off = _steps(area, np.full(400, np.nan), np.full(400, np.nan)), np.zeros((400, 2))
+    w = fit_logit(x, y, off, rounds=3000)
+    s = np.exp(w[x].sum(1))
+    g = np.eye(2)[y] - s / s.sum(1, keepdims=True)
+    grad = np.zeros_like(w)
+    for j in range(3):
+        np.add.at(grad, x[:, j], g)
+    assert np.abs(grad - w).max() < 1e-3 and (w[x].sum(1).argmax(1) == y).mean() > 0.8

@@ -190,3 +190,89 @@ def test_the_core_stands_without_the_text_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "geolathe.llm" not in p.read_text(), p
+
+
+def test_crs_must_agree(spark):
+    from geolathe.sources.readers import crs_of, same_crs, with_crs
+
+    df = with_crs(spark.createDataFrame([(1, 2.0)], "id int, x double"), "x", 32649)
+    assert crs_of(df, "x") == 32649 and crs_of(df, "id") is None and same_crs({"a": 32649, "b": 32649}) == 32649
+    for bad in ({"a": 32649, "b": None}, {"a": 4326}, {"a": 32649, "b": 32648}):
+        with pytest.raises(ValueError):
+            same_crs(bad)
+
+
+def test_row_structs_read_lists_scores_and_third_places(spark):
+    from geolathe.sources.readers import row_structs
+
+    df = spark.createDataFrame([("a", "x| y ||", "0.5", "", "Work"), ("b", None, '{"value": 2}', "0.25", "Work"), ("c", "", "n/a", None, "Home"), (None, "z", None, "x", None)], "k string, tags string, score string, third string, grp string")
+    got = {r["k"]: (list(r["info"]["tags"]), r["info"]["score"], r["info"]["third_place"]) for r in row_structs(df, "k", ["tags"], "score", "third", ["Work"], "grp").collect()}
+    assert got == {"a": (["x", "y"], 0.5, 0.0), "b": ([], 2.0, 0.25), "c": ([], None, 1.0), None: (["z"], None, 1.0)}
+    with pytest.raises(ValueError):
+        row_structs(df, "none", [], "score", "third", [], "grp")
+
+
+def test_sources_that_are_not_there_are_empty_and_other_errors_are_raised(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from geolathe.sources.readers import has_rows
+
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert has_rows(df) and not has_rows(df.where("id > 5"))
+    with pytest.raises(PySparkException):
+        has_rows(df.select(F.raise_error(F.lit("broken"))))
+
+
+def test_numbers_run_through_all_ranges(spark, rows):
+    from geolathe.session import numbered
+
+    df = spark.createDataFrame([(i * 7 % 50, "clash") for i in range(50)], "k int, n string").repartition(5)
+    assert rows(numbered(df, "line", "k"), "k", "line") == sorted([(k, k + 1) for k in range(50)], key=repr)
+    assert numbered(df.limit(0), "line", "k").count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from geolathe.session import shared_dir
+
+    conf = N(get=lambda k, d: d)
+    with pytest.raises(ValueError):
+        shared_dir(N(sparkContext=N(getConf=lambda: conf, master="spark://host:7077")))
+
+
+def test_regions_within_a_gap(spark, rows):
+    from geolathe.operators.spatial import within_or_near
+
+    box = lambda x: [[(x, 0.0), (x + 10.0, 0.0), (x + 10.0, 10.0), (x, 10.0), (x, 0.0)]]
+    regions = spark.createDataFrame([(1, box(0.0)), (2, box(5.0)), (3, None), (4, box(40.0))], "r bigint, geom array<array<struct<x:double,y:double>>>")
+    p = spark.createDataFrame([("in", 2.0, 5.0), ("both", 7.0, 5.0), ("near", 18.0, 5.0), ("far", 27.0, 5.0)], "id string, x double, y double")
+    assert rows(within_or_near(p, regions, "id", "r", 4.0)) == [("both", 1, 0.0), ("far", None, None), ("in", 1, 0.0), ("near", 2, 3.0)]
+
+
+def test_rasters_are_warped_clipped_and_grouped(spark, rows):
+    from geolathe.operators import raster as R
+    from geolathe.sources.writers import color_bytes, grid_lines
+    from pyspark.sql import functions as F
+
+    px = spark.createDataFrame([(r * 4 + c, r, c, 10 if (r, c) in ((0, 0), (0, 1), (3, 3)) else 20 if (r, c) == (1, 1) else 50, float(r * 4 + c)) for r in range(4) for c in range(4)], "id bigint, row int, col int, cls int, z double")
+    assert rows(R.patches(px, [10, 20], 10, 100.0, 0.02)) == [(0, 3, pytest.approx(2 / 3), 0.03)]
+    half = R.warp(px, "z", (0.0, 4.0), 1.0, R.grid(spark, 2, 3, (0.0, 4.0), 2.0), lambda x, y: (x, y))
+    assert rows(half) == [(0, 0, 5.0), (0, 1, 7.0), (0, 2, None), (1, 0, 13.0), (1, 1, 15.0), (1, 2, None)]
+    part = R.clipped(px, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], (0.0, 4.0), 1.0)
+    assert rows(part, "row", "col", "z") == [(0, 0, 5.0), (0, 1, 6.0), (1, 0, 9.0), (1, 1, 10.0)]
+    assert rows(grid_lines(px.where("id <> 1"), "cls", 4))[0] == (0, "10 -9999 50 50")
+    c = spark.createDataFrame([(0.5,), (2.0,), (None,)], "v double").select(color_bytes(F.col("v"), 0.0, 1.0, [(0, 0, 0), (100, 50, 0), (200, 0, 10)]).alias("c")).collect()
+    assert [tuple(r["c"]) for r in c] == [(100, 50, 0, 255), (200, 0, 10, 255), (0, 0, 0, 0)]
+
+
+def test_names_of_any_script_are_folded_and_typed(spark, rows):
+    from geolathe.operators.places import fold_ascii, type_by_name
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Ｐｈａｒｍａｃｙ Éa",), ("Аптека Pharmacy",), ("Straße",), ("Nhà thuốc Đa",), ("",), (None,)], "name string")
+    assert [r[0] for r in df.select(fold_ascii(F.col("name"))).collect()] == ["pharmacy ea", "pharmacy", "strae", "nha thuoc da", "", None]
+    out = {r["name"]: r["type"] for r in type_by_name(df, [("Pharmacy", "Health", ["pharmacy", "nhà thuốc"], [])]).collect()}
+    assert out["Ｐｈａｒｍａｃｙ Éa"] == out["Аптека Pharmacy"] == out["Nhà thuốc Đa"] == "Pharmacy" and out["Straße"] is None and out[""] is None
