@@ -160,7 +160,11 @@ def gr11_angular(spark, d):
     return r.select("id", "choice", "reached", F.round("total", 6).alias("total"), F.round("nach", 6).alias("nach"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {STREETS}, r(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT u, u, 0.0::DOUBLE FROM arcs UNION
+    SELECT r.source, a.v, min(r.dist + a.w) FROM r JOIN arcs a ON a.u = r.node LEFT JOIN recurring.r AS old ON old.source = r.source AND old.node = a.v WHERE r.dist + a.w <= 500 AND r.dist + a.w < coalesce(old.dist, 1e18) GROUP BY ALL),
+    ends AS (SELECT id, u AS source FROM streets UNION SELECT id, v FROM streets), held AS (SELECT id, node, min(dist) AS dist FROM ends JOIN r USING (source) GROUP BY ALL),
+    both_ AS (SELECT a.id, s.w, greatest(a.dist, b.dist) AS far FROM held a JOIN streets s ON s.u = a.node JOIN held b ON b.id = a.id AND b.node = s.v)
+    SELECT s.id, coalesce(sum(CASE WHEN far <= 300 THEN b.w END), 0) AS r300, coalesce(sum(b.w), 0) AS r500 FROM streets s LEFT JOIN both_ b USING (id) GROUP BY s.id""")
 def gr12_reach_length(spark, d):
     """Street length within 300 and 500 m of a street's ends."""
     return G.metric_reach(_net(spark, d), {"r300": 300.0, "r500": 500.0})

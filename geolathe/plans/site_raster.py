@@ -154,7 +154,14 @@ def m5_hillshade(spark, d):
     return R.hillshade_gradient(pixels(spark, d), "z").withColumn("shade", F.round("shade", 7))
 
 
-@query()
+_mirror = lambda v, top: f"CASE WHEN mod({v} + 20 * ({top} + 1), 2 * ({top} + 1)) <= {top} THEN mod({v} + 20 * ({top} + 1), 2 * ({top} + 1)) ELSE 2 * {top} + 1 - mod({v} + 20 * ({top} + 1), 2 * ({top} + 1)) END"
+
+
+@query(f"""WITH {PIXELS}, ext AS (SELECT max("row") AS mr, max(col) AS mc FROM pixels), k AS (SELECT CAST(o AS INTEGER) AS o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) OVER () AS w FROM range(-4, 5) t(o)),
+    a AS (SELECT "row", col, coalesce(CAST(z AS DOUBLE), 0.0) AS num, CASE WHEN z IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END AS den FROM pixels),
+    wr AS (SELECT "row", col, w, {_mirror('"row" + o', "mr")} AS src FROM a, k, ext), b AS (SELECT t."row", t.col, sum(t.w * s.num) AS num, sum(t.w * s.den) AS den FROM wr t JOIN a s ON s."row" = t.src AND s.col = t.col GROUP BY ALL),
+    wc AS (SELECT "row", col, w, {_mirror("col + o", "mc")} AS src FROM b, k, ext), c AS (SELECT t."row", t.col, sum(t.w * s.num) AS num, sum(t.w * s.den) AS den FROM wc t JOIN b s ON s.col = t.src AND s."row" = t."row" GROUP BY ALL)
+    SELECT p."row", p.col, round(CASE WHEN p.z IS NOT NULL THEN c.num / nullif(c.den, 0) END, 6) AS z FROM pixels p JOIN c ON c."row" = p."row" AND c.col = p.col""")
 def m5_smoothed(spark, d):
     return R.smooth(pixels(spark, d), "z", 1.0).withColumn("z", F.round("z", 6))
 

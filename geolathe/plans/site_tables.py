@@ -323,7 +323,17 @@ def m7_epsg(spark, d):
     return p.select("id", geom.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg")).distinct()
 
 
-@query()
+def _utm_sql() -> str:
+    """The projection's series with its numbers written out."""
+    a1, a2, a3, e, scale = (f"{v:.17e}" for v in (*geom._ALPHA, 2 * geom._N**0.5 / (1 + geom._N), 0.9996 * geom._RECT))
+    series = lambda f, g, base: f"{base} + {a1} * {f}(2 * xi) * {g}(2 * eta) + {a2} * {f}(4 * xi) * {g}(4 * eta) + {a3} * {f}(6 * xi) * {g}(6 * eta)"
+    return f"""WITH p AS (SELECT DISTINCT id, lon, lat FROM places WHERE id IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat) AND abs(lat) < 84 AND lon BETWEEN -180 AND 180),
+    q AS (SELECT id, lat, radians(lon - ((floor((lon + 180) / 6) + 1) * 6 - 183)) AS dl, sinh(atanh(sin(radians(lat))) - {e} * atanh({e} * sin(radians(lat)))) AS t FROM p),
+    x AS (SELECT id, lat, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM q)
+    SELECT id, round(500000 + {scale} * ({series("cos", "sinh", "eta")}), 2) AS easting, round(CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END + {scale} * ({series("sin", "cosh", "xi")}), 2) AS northing FROM x"""
+
+
+@query(_utm_sql())
 def m7_utm(spark, d):
     """Easting and northing of every place in its zone."""
     p = table(spark, d, "places").where("id is not null and not isnan(lon) and not isnan(lat) and abs(lat) < 84 and lon between -180 and 180").select("id", "lon", "lat").distinct()
