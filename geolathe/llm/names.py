@@ -15,6 +15,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -457,11 +458,18 @@ def near_names(names: DataFrame) -> DataFrame:
     ask = names.select("site", "look", F.explode(F.filter(F.array_distinct("words"), lambda w: (F.length(w) >= 4) & ~w.isin(settled))).alias("word"))
     found = ask.join(senses, "word").groupBy("site", "look").agg(F.collect_list(F.struct("word", "one", "two")).alias("senses"))
 
+    dull = NOISE | lex.noise
+    skip = dull | lex.kinds | set(_formal)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, key = [], []
             for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("words", "numbers", "senses")))):
-                k = Name(row[0], row[1], lex, _senses(row[2])).keys()
+                if row[2] or dull.issuperset(row[0]):
+                    k = Name(row[0], row[1], lex, _senses(row[2])).keys()
+                else:  # the same for words that stand for themselves only
+                    own = sorted(w for w in row[0] if len(w) > 3 and w not in skip)
+                    k = {" ".join((*p, *row[1])) for p in combinations(own, 2)}
                 at += [i] * len(k)
                 key += k
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(key, pa.string())], names=[*b.schema.names, "key"])

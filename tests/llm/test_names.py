@@ -141,3 +141,15 @@ def test_blocks_of_one_length_meet(spark, rows, monkeypatch):
     assert rows(N.near_table(words), "x", "y", "d") == want
     monkeypatch.setattr(N, "BLOCK", 20)
     assert rows(N.near_table(words), "x", "y", "d") == want
+
+
+def test_near_names_equal_all_pairs(spark, rows):
+    """Every two names of a site that `same` links are found, those of dull words and with senses among them."""
+    names = ["Zebotem Rusulath Cafe", "Rusulath-Zebotem", "Zebotem Rusulat Cafe", "The Main Gruppa", "Gruppa Main Limited", "Anna Zebotem Kibratix 3", "Kibratix Zebotem 3", "Kibratix Zebotem 4", "Zebotem Zebotem", "Nagofim Dulorep Sitakum", "Sitakum Dulorep Nagofim"]
+    data = [("s", n.lower(), n, "x") for n in names] + [("t", names[0].lower(), names[0], "x")]
+    df = N.parsed(spark.createDataFrame(data, "site string, look string, name string, category string"))
+    words = df.select(N.F.explode(N.F.array_distinct("words")).alias("word")).groupBy("word").agg(N.F.count("*").alias("n"))
+    lex, senses = N.lexicon(df, words), N._senses(N.sense_table(words).collect())
+    taken = [Name(*words_of(n), lex, {w: v for w, v in senses.items() if w in words_of(n)[0]}) for n in names]
+    want = sorted(("s", *sorted((a.lower(), b.lower()))) for i, a in enumerate(names) for j, b in enumerate(names[:i]) if same(taken[i], taken[j], lex))
+    assert len(want) >= 3 and rows(N.near_names(df)) == want
