@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolathe.functions import geom
-from geolathe.session import materialize, ship
+from geolathe.session import discard, materialize, ship
 
 LIMIT = 2_000_000  # edges of a graph that is shipped whole, about 100 MB
 
@@ -106,14 +106,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component's width; each round is written to the shared folder.
     """
     e = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    lab = materialize(nodes.select("node").distinct().withColumn("component", F.col("node")), "labels")
+    kept = lab = materialize(nodes.select("node").distinct().withColumn("component", F.col("node")), "labels")
     while True:
         near = e.join(lab.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = lab.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
         jump = lab.select(F.col("node").alias("to"), F.col("component").alias("far"))
         new = step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("component"), (F.least("to", F.coalesce("far", "to")) < F.col("component")).alias("moved"))
         new = materialize(new, "labels")
-        lab = new.drop("moved")
+        discard(kept)
+        kept, lab = new, new.drop("moved")
         if not new.where("moved").limit(1).count():
             return lab
 
@@ -144,7 +145,9 @@ def nearest_source(edges: DataFrame, sources: DataFrame, cutoff: float = math.in
         best_step = step.groupBy("node").agg(F.min("m").alias("n"))
         j = state.join(best_step, "node", "full")
         better = F.col("m").isNull() | (F.col("n") < F.col("m"))
-        state = materialize(j.select("node", F.when(F.col("n").isNotNull() & better, F.col("n")).otherwise(F.col("m")).alias("m"), (F.col("n").isNotNull() & better).alias("fresh")), "reach")
+        new = materialize(j.select("node", F.when(F.col("n").isNotNull() & better, F.col("n")).otherwise(F.col("m")).alias("m"), (F.col("n").isNotNull() & better).alias("fresh")), "reach")
+        discard(state)
+        state = new
         if not state.where("fresh").limit(1).count():
             return state.select("node", "m.dist", "m.source")
 

@@ -83,9 +83,13 @@ def near_or_inside(places: DataFrame, nodes: DataFrame, zones: DataFrame, *, rad
     ship(spark)
     p = places.select(F.col("id").alias("pid"), F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y")).where(F.col("pid").isNotNull() & real_location(F.col("x"), F.col("y")))
     t = nodes.select(F.col("osmid").cast("long").alias("oid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    t = t.where(F.col("oid").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    t = t.where(F.col("oid").isNotNull() & there("x") & there("y"))
     z = zones.select(F.col("zone_id").cast("long").alias("oid"), F.col("geom").cast(RING).alias("rings")).where(F.col("oid").isNotNull() & F.col("rings").isNotNull() & (F.size("rings") > 0))
-    fitted = _fit(p, t, radius, rows_per_cell, sample_rows)
+    # A zone weighs on the cells by its first corner.
+    corner = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    targets = t.select("x", "y").unionAll(z.select(corner["x"].alias("x"), corner["y"].alias("y")).where(there("x") & there("y")))
+    fitted = _fit(p, targets, radius, rows_per_cell, sample_rows)
     if fitted is None:
         return spark.createDataFrame([], FOUND)
     tree, p_slots, t_slots = fitted
@@ -118,8 +122,9 @@ def near_or_inside(places: DataFrame, nodes: DataFrame, zones: DataFrame, *, rad
             if not len(ok):
                 continue
             bi, leaf = tree.leaves_of(*box[ok].T)
-            at, leaf2, i = _expand(ok[bi], leaf, p_slots)
-            yield _routed(_cells(leaf2, i, np.zeros(len(at), np.int64)), 2, at, oid=b.column("oid"), rings=rings)
+            slot = (_hash(b.column("oid").to_numpy()[ok[bi]]) % t_slots[leaf].astype(np.uint64)).astype(np.int64)
+            at, leaf2, i = _expand(np.arange(len(bi)), leaf, p_slots)
+            yield _routed(_cells(leaf2, i, slot[at]), 2, ok[bi[at]], oid=b.column("oid"), rings=rings)
 
     def probe(tbl: pa.Table) -> pa.Table:
         side = tbl.column("side").to_numpy()

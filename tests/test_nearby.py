@@ -96,3 +96,13 @@ def test_quadtree_leaves_cover_boxes():
     for i in range(0, 600, 7):
         near = np.flatnonzero((np.abs(xy - xy[i]) <= 5).all(1))
         assert all((i, leaf[j]) in pairs for j in near)
+
+
+def test_many_zones_over_one_spot_are_split(spark, rows):
+    """Zones that all cover one place weigh on its cell, so they are spread over slots; each pair still comes once."""
+    p = [(f"p{i}", (50.0 + i % 3, 50.0)) for i in range(40)]
+    z = [(i, [square(50.0 - 1 - i % 7, 45.0, 10.0)]) for i in range(90)]
+    n = [(1, 51.0, 50.0), (2, float("inf"), 50.0)]
+    got = rows(near_or_inside(*frames(spark, p, n, z), rows_per_cell=10))
+    want = sorted([(a, "zone", i) for a, (x, y) in p for i in range(90) if 49.0 - i % 7 <= x < 59.0 - i % 7] + [(a, "node", 1) for a, _ in p], key=repr)
+    assert got == want
