@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from geolathe.llm.glyphs import TWINS, with_forms
 from geolathe.llm.trie import allowed, near_words, run_together
-from geolathe.session import materialize, ship
+from geolathe.session import discard, materialize, ship
 
 # Given names and what people call them.
 NICKNAMES = """alexander alex xander sasha sandy sascha alejandro
@@ -523,12 +523,13 @@ def variants(places: DataFrame) -> DataFrame:
 def closed(links: DataFrame) -> DataFrame:
     """(site, look, family): components of the links by least label, jumping to the label's label; a few rounds, as families are small."""
     edges = materialize(links.unionAll(links.select("site", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = materialize(edges.groupBy("site", "a").agg(F.least(F.min("b"), F.col("a")).alias("family")), "labels")
+    kept = label = materialize(edges.groupBy("site", "a").agg(F.least(F.min("b"), F.col("a")).alias("family")), "labels")
     while True:
         seen = edges.join(label.select("site", F.col("a").alias("b"), "family"), ["site", "b"]).groupBy("site", "a").agg(F.min("family").alias("near"))
         new = label.join(seen, ["site", "a"]).select("site", "a", F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved"))
         new = materialize(new, "labels")
         moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
+        discard(kept)
+        kept, label = new, new.drop("moved")
         if not moved:
             return label.withColumnRenamed("a", "look")
