@@ -7,12 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolathe.session import materialize
+
 
 def gini(df: DataFrame, col: str, *keys: str) -> DataFrame:
     """keys, gini: NULL below two values. Ranks come from counts of equal values, summed along a sorted range per key."""
     v = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    part = list(keys)
+    if not keys:
+        # Without keys the values are sorted into ranges, each shifted by the counts of the ranges before it.
+        part = ["_part"]
+        v = materialize(v.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), "ranges")
+        size = v.groupBy("_part").agg(F.sum("c").alias("n"))  # one row a range
+        shift = size.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+        v = v.join(F.broadcast(shift), "_part")
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*part).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v = v.withColumn("before", before if keys else before + F.col("_shift"))
     # Equal values hold the ranks before + 1 .. before + c.
     rank_sum = F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2
     g = v.groupBy(*keys) if keys else v.groupBy()

@@ -251,3 +251,14 @@ def test_noded_holds_the_whole_lattice(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(1, 121)], "p_partkey bigint").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["line"] for r in gr1_noded(spark, str(tmp_path)).select("line").distinct().collect()}
     assert {r["id"] for r in streets(spark, str(tmp_path)).select("id").collect()} <= got
+
+
+def test_gini_over_all_rows_runs_through_ranges(spark):
+    from geolathe.operators.access import gini
+
+    v = [float(i * 7 % 23 + 1) for i in range(200)]
+    x = sorted(v)
+    want = 2 * sum((i + 1) * y for i, y in enumerate(x)) / (len(x) * sum(x)) - (len(x) + 1) / len(x)
+    df = spark.createDataFrame([(y,) for y in v] + [(None,)], "v double").repartition(5)
+    assert gini(df, "v").first()["gini"] == pytest.approx(want)
+    assert gini(df.where("v > 99"), "v").first()["gini"] is None
