@@ -1,8 +1,9 @@
 """Graphs as edge tables: building, components, nearest facility, and measures that run one search per source.
 
-Searches with a finite reach are exact on a piece of the graph: a way of length r stays within r of its start. So large
-graphs are cut into square tiles of sources, each with the edges of a halo of r around it, and every tile is searched in
-a task of its own. A graph below LIMIT edges is shipped whole instead, which also serves measures of unlimited reach.
+Searches with a finite reach are exact on a piece of the graph: a way of length r stays within r of its start, times the
+most metres that an edge spans per unit of length. So large graphs are cut into tiles of sources, each with the edges of
+a halo around it, and every tile is searched in one task. A graph of up to TILED edges is shipped whole instead, and up
+to LIMIT one that can't be cut, for unlimited reach or want of coordinates.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from geolathe.functions import geom
+from geolathe.functions.quadtree import QuadTree
 from geolathe.session import discard, materialize, ship
 
 LIMIT = 2_000_000  # edges of a graph that is shipped whole, about 100 MB
+TILED = 200_000  # edges above which a graph is cut into tiles where it can be
+TILE_SOURCES = 10_000  # sources of a tile
 
 
 # -- tables --------------------------------------------------------------------------------------------------------
@@ -168,6 +174,7 @@ class Net:
         self.start = np.searchsorted(u[order], np.arange(len(self.names) + 1)).tolist()
         self.to, self.w, self.e = v[order].tolist(), w[order].tolist(), e[order].tolist()
         self.index = {k: i for i, k in enumerate(self.names.tolist())}
+        self.arcs: dict[int, list] = {}
 
     def out(self, i: int):
         a, b = self.start[i], self.start[i + 1]
@@ -187,6 +194,60 @@ class Net:
                     heapq.heappush(heap, (n, j))
         return done
 
+    def balls(self, sources: list[int], cutoff: float, room: int = 4_000_000) -> Iterator[list[int]]:
+        """The nodes within cutoff of each source, itself among them. Many sources are searched at once, each round over the nodes that became nearer."""
+        n, start, to, w = max(len(self.names), 1), np.array(self.start), np.array(self.to, np.int64), np.array(self.w)
+        step = max(1, room // n)
+        dist = np.full(min(step, max(len(sources), 1)) * n, np.inf)
+        for lo in range(0, len(sources), step):
+            part = np.array(sources[lo : lo + step], np.int64)
+            front = np.arange(len(part)) * n + part
+            dist[front] = 0.0
+            seen = [front]
+            while len(front):
+                node = front % n
+                deg = start[node + 1] - start[node]
+                arc = np.repeat(start[node] - np.cumsum(deg) + deg, deg) + np.arange(deg.sum())
+                key, d = np.repeat(front - node, deg) + to[arc], np.repeat(dist[front], deg) + w[arc]
+                old = dist[key]
+                ok = (d <= cutoff) & (d < old)
+                key, d, old = key[ok], d[ok], old[ok]
+                np.minimum.at(dist, key, d)
+                front = np.unique(key[d == dist[key]])
+                seen.append(np.unique(key[np.isinf(old)]))
+            held = np.sort(np.concatenate(seen))
+            dist[held] = np.inf
+            cut = np.searchsorted(held, np.arange(len(part) + 1) * n).tolist()
+            nodes = (held % n).tolist()
+            yield from (nodes[cut[k] : cut[k + 1]] for k in range(len(part)))
+
+    def first_ways(self, s: int, allowed: list[int], tie: float = 1e-9):
+        """Order of settling among the allowed nodes, each one's least predecessor on a shortest way, and the sum of distances."""
+        left, first, order, total, heap, arcs = dict.fromkeys(allowed, math.inf), {}, [], 0.0, [(0.0, s)], self.arcs
+        left[s] = 0.0
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            d, i = pop(heap)
+            if i not in left:
+                continue
+            del left[i]
+            order.append(i)
+            total += d
+            out = arcs.get(i)
+            if out is None:
+                out = arcs[i] = [(j, w) for j, w, _ in self.out(i)]
+            for j, w in out:
+                old = left.get(j)
+                if old is None:
+                    continue
+                n = d + w
+                if n < old - tie:
+                    left[j], first[j] = n, i
+                    push(heap, (n, j))
+                elif n <= old + tie and i < first[j]:
+                    first[j] = i
+        return order, first, total
+
     def hops(self, s: int, cutoff: float = math.inf) -> dict[int, int]:
         dist, queue = {s: 0}, deque([s])
         while queue:
@@ -222,23 +283,71 @@ class Net:
         return order, preds, sigma, dist
 
 
-def _net(pdf: pd.DataFrame, directed: bool) -> Net | None:
-    return Net(pdf, directed) if len(pdf) else None
+def _net(pdf: pd.DataFrame, directed: bool) -> Net:
+    pdf = pdf.sort_values("id", kind="stable", ignore_index=True) if "id" in pdf else pdf  # equal parallel edges: the least id
+    net = Net(pdf, directed)
+    net.table = pdf
+    return net
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """source and, where edges have coordinates, x, y: every node once."""
+    at = {"ux", "uy", "vx", "vy"} <= set(edges.columns)
+    n = edges.select(F.col("u").alias("source"), *([F.col("ux").alias("x"), F.col("uy").alias("y")] if at else []))
+    n = n.unionAll(edges.select("v", *(["vx", "vy"] if at else [])))
+    return n.groupBy("source").agg(F.min("x").alias("x"), F.min("y").alias("y")) if at else n.distinct()
+
 
+def _halo(edges: DataFrame, reach: float, length: str | None, beyond: bool) -> float:
+    """Metres round a source that hold all edges within its reach; infinite if an edge without length spans any or a place is unknown."""
+    span = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
+    per = span if length is None else F.when(F.col(length) > 0, span / F.col(length)).otherwise(F.when(span > 0, math.inf).otherwise(0.0))
+    r = edges.agg(F.max(F.coalesce(per, F.lit(math.inf))), F.max(span)).first()
+    h = reach * (r[0] or 0.0) + ((r[1] or 0.0) if beyond else 0.0)
+    return h * (1 + 1e-9) + 1e-6 if math.isfinite(h) else math.inf
 
-def per_source(edges: DataFrame, sources: DataFrame, kernel: Callable[[Net, list], pd.DataFrame], schema: str, *, reach: float = math.inf, directed: bool = False, tile: float | None = None) -> DataFrame:
+
+def _in_tiles(edges: DataFrame, sources: DataFrame, halo: float) -> tuple[DataFrame, DataFrame, int]:
+    """Both with the number of their tile, edges repeated for every tile whose halo they meet, and the number of tiles. Collects about 50,000 coordinates."""
+    n, lost, *box = sources.agg(F.count("*"), F.count_if(F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if lost or not math.isfinite(halo):
+        return edges.withColumn("tile", F.lit(0).cast("long")), sources.withColumn("tile", F.lit(0).cast("long")), 1
+    f = min(1.0, 50_000 / max(n, 1))
+    xy = (sources.sample(fraction=f, seed=7) if f < 1 else sources).select("x", "y").toPandas().to_numpy(float).reshape(-1, 2)
+    tree = QuadTree(box if n else (0.0, 0.0, 0.0, 0.0), xy, np.full(len(xy), n / max(len(xy), 1)), TILE_SOURCES, 2 * halo)
+
+    def of_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = tree.leaf_of(b.column("x").to_numpy(), b.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=[*b.schema.names, "tile"])
+
+    def of_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ux, uy, vx, vy = (b.column(c).to_numpy() for c in ("ux", "uy", "vx", "vy"))
+            at, leaf = tree.leaves_of(np.minimum(ux, vx) - halo, np.minimum(uy, vy) - halo, np.maximum(ux, vx) + halo, np.maximum(uy, vy) + halo)
+            b = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=[*b.schema.names, "tile"])
+
+    tiled = lambda df, f: df.mapInArrow(f, StructType([*df.schema.fields, StructField("tile", LongType())]))
+    return tiled(edges, of_edges), tiled(sources, of_sources), len(tree.first)
+
+
+def per_source(edges: DataFrame, sources: DataFrame, kernel: Callable[[Net, list], pd.DataFrame], schema: str, *, reach: float = math.inf, directed: bool = False, length: str | None = "w", beyond: bool = False) -> DataFrame:
     """Runs kernel(net, sources) over the graph and gathers its rows.
 
-    edges: u, v, w and, for tiles, ux, uy, vx, vy; other columns reach the kernel as net.table. sources: source and, for tiles, x, y.
+    edges: u, v, w and, for tiles, ux, uy, vx, vy; other columns reach the kernel as net.table. sources: source and, for
+    tiles, x, y; a node has one place. length: the column that reach is measured in, None for edges walked; beyond: the
+    reach is from the far end of a source that is an edge, too.
     """
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    ship(spark)
+    edges = materialize(edges, "net")
     n = edges.count()
-    if n <= LIMIT:
+    placed = {"ux", "uy", "vx", "vy"} <= set(edges.columns) and {"x", "y"} <= set(sources.columns)
+    halo = _halo(edges, reach, length, beyond) if placed and math.isfinite(reach) and n > min(LIMIT, TILED) else math.inf
+    if n <= LIMIT and not math.isfinite(halo):
         pdf = edges.toPandas()
-        net = _net(pdf, directed)
-        if net is not None:
-            net.table = pdf
-        shared = edges.sparkSession.sparkContext.broadcast(net)
+        shared = spark.sparkContext.broadcast(_net(pdf, directed) if len(pdf) else None)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g = shared.value
@@ -246,23 +355,19 @@ def per_source(edges: DataFrame, sources: DataFrame, kernel: Callable[[Net, list
                 if g is not None:
                     yield kernel(g, p["source"].tolist())
 
-        spread = max(8, edges.sparkSession.sparkContext.defaultParallelism)
+        spread = max(8, spark.sparkContext.defaultParallelism)
         return sources.select("source").repartition(spread, "source").mapInPandas(run, schema)
     if not math.isfinite(reach):
         raise ValueError(f"{n} edges: a search of unlimited reach needs a graph of at most {LIMIT} edges; give a reach")
-    side = tile or max(4 * reach, 1.0)
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / side).cast("long"), F.floor((F.greatest(a, b) + reach) / side).cast("long")))
-    e = edges.withColumn("tx", span("ux", "vx")).withColumn("ty", span("uy", "vy"))
-    s = sources.select("source", F.floor(F.col("x") / side).cast("long").alias("tx"), F.floor(F.col("y") / side).cast("long").alias("ty"))
+    if not placed:
+        raise ValueError(f"{n} edges: a graph of more than {LIMIT} edges is searched in tiles, which need the coordinates of its nodes")
+    e, s, tiles = _in_tiles(edges, sources.select("source", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), halo)
+    spread = max(1, min(tiles, 8 * spark.sparkContext.defaultParallelism))
 
-    def both(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        g = _net(left, directed)
-        if g is None or not len(right):
-            return kernel(Net(pd.DataFrame({"u": [], "v": [], "w": []})), [])
-        g.table = left
-        return kernel(g, right["source"].tolist())
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return kernel(_net(left.drop(columns="tile"), directed), right["source"].tolist())
 
-    return e.groupBy("tx", "ty").cogroup(s.groupBy("tx", "ty")).applyInPandas(both, schema)
+    return e.repartition(spread, "tile").groupBy("tile").cogroup(s.select("source", "tile").repartition(spread, "tile").groupBy("tile")).applyInPandas(both, schema)
 
 
 def reachable(edges: DataFrame, sources: DataFrame, cutoff: float, directed: bool = True) -> DataFrame:
@@ -346,7 +451,7 @@ def depth(edges: DataFrame, sources: DataFrame, radius: float = math.inf, *, by_
         return pd.DataFrame(out, columns=["source", "reached", "total"])
 
     t = dict(sources.dtypes)["source"]
-    return per_source(edges, sources, kernel, f"source {t}, reached bigint, total double", reach=radius)
+    return per_source(edges, sources, kernel, f"source {t}, reached bigint, total double", reach=radius, length=metric or (None if by_hops else "w"))
 
 
 def hh_integration(reached: Column, total: Column) -> Column:
@@ -378,36 +483,46 @@ def angular_measures(dual: DataFrame, segments: DataFrame, radius: float = math.
     """id, choice, reached, total, integration, nach of every segment on the line graph.
 
     One way per pair, the one whose predecessor has the least id where turns are equal; its ends count too. radius: on the
-    summed turn, or with metric=True on the distance by mean lengths (column m of dual). dual: a, b, cost[, m]; segments: id.
+    summed turn, or with metric=True on the distance by mean lengths (column m of dual). dual: a, b, cost[, m]; segments: id
+    and, for tiles, a point x, y of each.
     """
     e = dual.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cost").alias("w"), *(["m"] if metric else []))
+    placed = {"x", "y"} <= set(segments.columns)
+    if placed and math.isfinite(radius):
+        for c in ("u", "v"):
+            e = e.join(segments.select(F.col("id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), c)
 
     def kernel(net: Net, src: list) -> pd.DataFrame:
         other = Net(net.table.assign(w=net.table["m"])) if metric else None
+        near = other.balls([net.index[s] for s in src if s in net.index], radius) if metric else None
         got: dict = {}
         depth_: dict = {}
+        names = net.names.tolist()
         for s_ in src:
             if s_ not in net.index:
                 depth_[s_] = (0, 0.0)
                 continue
             s = net.index[s_]
-            allowed = set(other.distances(s, radius)) if other is not None else None
-            order, preds, _, dist = net.ways(s, math.inf if metric else radius, allowed=allowed)
-            depth_[s_] = (len(order) - 1, sum(dist[j] for j in order))
+            if other is not None:
+                order, first, total = net.first_ways(s, next(near))
+            else:
+                order, preds, _, dist = net.ways(s, radius)
+                first, total = {j: min(p)[0] for j, p in preds.items() if p}, sum(dist[j] for j in order)
+            depth_[s_] = (len(order) - 1, total)
             below = dict.fromkeys(order, 0)
             for j in reversed(order):
                 if j != s:
-                    below[j] += 1
-                    got[net.names[j]] = got.get(net.names[j], 0.0) + below[j]
-                    p = min(preds[j])[0]
-                    below[p] += below[j]
+                    n = below[j] = below[j] + 1
+                    got[names[j]] = got.get(names[j], 0.0) + n
+                    below[first[j]] += n
             if len(order) > 1:
                 got[s_] = got.get(s_, 0.0) + len(order) - 1
         rows = [(k, v, 0, 0.0) for k, v in got.items()] + [(k, 0.0, n, t) for k, (n, t) in depth_.items()]
         return pd.DataFrame(rows, columns=["id", "choice", "reached", "total"])
 
     t = dict(segments.dtypes)["id"]
-    part = per_source(e, segments.select(F.col("id").alias("source")), kernel, f"id {t}, choice double, reached bigint, total double")
+    src = segments.select(F.col("id").alias("source"), *(["x", "y"] if placed else []))
+    part = per_source(e, src, kernel, f"id {t}, choice double, reached bigint, total double", reach=radius, length="m" if metric else "w")
     g = part.groupBy("id").agg(F.sum("choice").alias("choice"), F.sum("reached").alias("reached"), F.sum("total").alias("total"))
     g = segments.select("id").join(g, "id", "left").fillna(0, ["choice", "reached", "total"])
     return g.withColumns({"integration": F.when((F.col("reached") > 0) & (F.col("total") > 0), F.col("reached") * F.col("reached") / F.col("total")).otherwise(0.0), "nach": F.log(F.col("choice") + 1) / F.log(F.col("total") + 3)})

@@ -156,7 +156,8 @@ def gr11_angular(spark, d):
     dual = G.angular_graph(s.select("id", "u", "v", "bearing"))
     w = s.select("id", "w")
     dual = dual.join(w.withColumnRenamed("id", "a").withColumnRenamed("w", "wa"), "a").join(w.withColumnRenamed("id", "b").withColumnRenamed("w", "wb"), "b").select("a", "b", "cost", ((F.col("wa") + F.col("wb")) / 2).alias("m"))
-    r = G.angular_measures(dual, s.select("id"), 600.0, metric=True)
+    mid = s.select("id", ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"))
+    r = G.angular_measures(dual, mid, 600.0, metric=True)
     return r.select("id", "choice", "reached", F.round("total", 6).alias("total"), F.round("nach", 6).alias("nach"))
 
 

@@ -262,3 +262,39 @@ def test_gini_over_all_rows_runs_through_ranges(spark):
     df = spark.createDataFrame([(y,) for y in v] + [(None,)], "v double").repartition(5)
     assert gini(df, "v").first()["gini"] == pytest.approx(want)
     assert gini(df.where("v > 99"), "v").first()["gini"] is None
+
+
+def in_tiles(monkeypatch):
+    """Graphs of any size are cut into small tiles."""
+    monkeypatch.setattr(G, "LIMIT", 0)
+    monkeypatch.setattr(G, "TILE_SOURCES", 20, raising=False)
+
+
+def same_in_tiles(monkeypatch, measure):
+    """measure() gives the same rows, by id, over the whole graph and in tiles."""
+    of = lambda: {r["id"]: tuple(r) for r in measure().collect()}
+    want = of()
+    in_tiles(monkeypatch)
+    got = of()
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def short_cuts(n=12):
+    """A lattice with some streets shorter than the straight way between their ends."""
+    return [(i, u, v, w * (0.6 if i % 5 == 0 else 1.0), *at) for i, u, v, w, *at in lattice(n)]
+
+
+def test_angular_measures_in_tiles_equal_the_whole(spark, monkeypatch):
+    e = spark.createDataFrame(short_cuts(), SCHEMA).withColumn("bearing", F.pmod(F.degrees(F.atan2(F.col("vy") - F.col("uy"), F.col("vx") - F.col("ux"))), F.lit(180.0)))
+    m = e.select("id", "w")
+    dual = G.angular_graph(e).join(m.toDF("a", "wa"), "a").join(m.toDF("b", "wb"), "b").select("a", "b", "cost", ((F.col("wa") + F.col("wb")) / 2).alias("m"))
+    mid = e.select("id", ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"))
+    same_in_tiles(monkeypatch, lambda: G.angular_measures(dual, mid, 150.0, metric=True))
+
+
+def test_tiles_keep_isolated_sources_and_streets_without_length(spark, monkeypatch):
+    rows = [(0, 0, 1, 0.0, 0.0, 0.0, 5000.0, 0.0), (1, 1, 2, 50.0, 5000.0, 0.0, 5050.0, 0.0), (2, 3, 4, 50.0, 0.0, 100.0, 50.0, 100.0)]
+    src = spark.createDataFrame([(0, 0.0, 0.0), (9, 9000.0, 9000.0)], "source bigint, x double, y double")
+    in_tiles(monkeypatch)
+    got = {r["source"]: (r["reached"], r["total"]) for r in G.depth(spark.createDataFrame(rows, SCHEMA), src, 60.0, by_hops=False).collect()}
+    assert got == {0: (2, 50.0), 9: (0, 0.0)}
