@@ -530,17 +530,36 @@ def angular_measures(dual: DataFrame, segments: DataFrame, radius: float = math.
 
 def metric_reach(edges: DataFrame, radii: dict[str, float]) -> DataFrame:
     """id and one column per radius: the length of edges with both ends within the radius of either end of an edge. edges: id, u, v, w."""
-    top = max(radii.values())
-    nodes = edges.select(F.col("u").alias("source")).union(edges.select(F.col("v").alias("source"))).distinct()
-    r = materialize(reachable(edges, nodes, top, directed=False), "reach")
-    out = edges.select("id")
-    for name, limit in radii.items():
-        near = r.where(F.col("dist") <= limit).select("source", "node")
-        held = edges.select("id", F.col("u").alias("source")).union(edges.select("id", F.col("v").alias("source"))).join(near, "source").select("id", "node").distinct()
-        e = edges.select(F.col("u").alias("eu"), F.col("v").alias("ev"), "w")
-        both = held.withColumnRenamed("node", "eu").join(e, "eu").join(held.withColumnRenamed("node", "ev"), ["id", "ev"])
-        out = out.join(both.groupBy("id").agg(F.sum("w").alias(name)), "id", "left").fillna(0.0, [name])
-    return out
+    top, limits = max(radii.values()), list(radii.values())
+
+    def kernel(net: Net, src: list) -> pd.DataFrame:
+        ends = {i: (net.index[u], net.index[v]) for i, u, v in zip(net.table["id"].tolist(), net.table["u"].tolist(), net.table["v"].tolist())}
+        out, near = [], {}
+        for s in sorted(src, key=lambda s: ends[s]):
+            if len(near) > 20_000:
+                near.clear()
+            for i in ends[s]:
+                if i not in near:
+                    near[i] = net.distances(i, top)
+            d = dict(near[ends[s][0]])
+            for i, x in near[ends[s][1]].items():
+                if x < d.get(i, math.inf):
+                    d[i] = x
+            sums = [0.0] * len(limits)
+            for i, x in d.items():
+                for j, w, _ in net.out(i):  # every edge comes from both its ends
+                    y = d.get(j)
+                    if y is not None:
+                        y = max(x, y)
+                        for k, limit in enumerate(limits):
+                            if y <= limit:
+                                sums[k] += w / 2
+            out.append((s, *sums))
+        return pd.DataFrame(out, columns=["id", *radii])
+
+    src = edges.select(F.col("id").alias("source"), *([F.col("ux").alias("x"), F.col("uy").alias("y")] if {"ux", "uy"} <= set(edges.columns) else []))
+    schema = ", ".join([f"id {dict(edges.dtypes)['id']}", *[f"`{name}` double" for name in radii]])
+    return per_source(edges, src, kernel, schema, reach=top, beyond=True)
 
 
 def length_weighted_choice(edges: DataFrame, radius: float = math.inf) -> DataFrame:

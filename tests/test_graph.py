@@ -298,3 +298,8 @@ def test_tiles_keep_isolated_sources_and_streets_without_length(spark, monkeypat
     in_tiles(monkeypatch)
     got = {r["source"]: (r["reached"], r["total"]) for r in G.depth(spark.createDataFrame(rows, SCHEMA), src, 60.0, by_hops=False).collect()}
     assert got == {0: (2, 50.0), 9: (0, 0.0)}
+
+
+def test_metric_reach_in_tiles_equals_the_whole(spark, monkeypatch):
+    e = spark.createDataFrame(short_cuts(), SCHEMA)
+    same_in_tiles(monkeypatch, lambda: G.metric_reach(e, {"near": 120.0, "far": 150.0}))
