@@ -584,8 +584,7 @@ def length_weighted_choice(edges: DataFrame, radius: float = math.inf) -> DataFr
                 carry[p] += mine
         return pd.DataFrame({"id": list(got), "choice": list(got.values())}) if got else pd.DataFrame({"id": [], "choice": []}).astype({"choice": float})
 
-    nodes = edges.select(F.col("u").alias("source")).union(edges.select(F.col("v").alias("source"))).distinct()
-    part = per_source(edges, nodes, kernel, f"id {dict(edges.dtypes)['id']}, choice double", reach=radius)
+    part = per_source(edges, _ends(edges), kernel, f"id {dict(edges.dtypes)['id']}, choice double", reach=radius)
     return edges.select("id").join(part.groupBy("id").agg(F.sum("choice").alias("choice")), "id", "left").fillna(0.0, ["choice"])
 
 

@@ -300,6 +300,11 @@ def test_tiles_keep_isolated_sources_and_streets_without_length(spark, monkeypat
     assert got == {0: (2, 50.0), 9: (0, 0.0)}
 
 
+def test_length_weighted_choice_in_tiles_equals_the_whole(spark, monkeypatch):
+    e = spark.createDataFrame(short_cuts(), SCHEMA)
+    same_in_tiles(monkeypatch, lambda: G.length_weighted_choice(e, 150.0))
+
+
 def test_metric_reach_in_tiles_equals_the_whole(spark, monkeypatch):
     e = spark.createDataFrame(short_cuts(), SCHEMA)
     same_in_tiles(monkeypatch, lambda: G.metric_reach(e, {"near": 120.0, "far": 150.0}))
