@@ -426,8 +426,8 @@ def betweenness(edges: DataFrame, radius: float = math.inf, *, of: str = "edge",
         return pd.DataFrame({"id": list(got), "choice": list(got.values())}) if got else pd.DataFrame({"id": [], "choice": []}).astype({"choice": float})
 
     key = dict(edges.dtypes)["u" if of == "node" else "id"]
-    nodes = edges.select(F.col("u").alias("source")).union(edges.select(F.col("v").alias("source"))).distinct()
-    part = per_source(edges, nodes, kernel, f"id {key}, choice double", reach=radius)
+    nodes = _ends(edges)
+    part = per_source(edges, nodes, kernel, f"id {key}, choice double", reach=radius, length=metric or (None if by_hops else "w"))
     all_ids = nodes.select(F.col("source").alias("id")) if of == "node" else edges.select("id").distinct()
     return all_ids.join(part.groupBy("id").agg(F.sum("choice").alias("choice")), "id", "left").fillna(0.0, ["choice"])
 

@@ -308,3 +308,8 @@ def test_length_weighted_choice_in_tiles_equals_the_whole(spark, monkeypatch):
 def test_metric_reach_in_tiles_equals_the_whole(spark, monkeypatch):
     e = spark.createDataFrame(short_cuts(), SCHEMA)
     same_in_tiles(monkeypatch, lambda: G.metric_reach(e, {"near": 120.0, "far": 150.0}))
+
+
+def test_choice_in_tiles_equals_the_whole(spark, monkeypatch):
+    e = spark.createDataFrame(short_cuts(), SCHEMA)
+    same_in_tiles(monkeypatch, lambda: G.betweenness(e, 150.0))
