@@ -474,8 +474,7 @@ def axial_integration(pairs: DataFrame, lines: DataFrame, radius: float = math.i
 
 def segment_integration(edges: DataFrame, radius: float = math.inf) -> DataFrame:
     """id, integration: n * n / total hop depth from each edge's first end; 0 where nothing is reached."""
-    src = edges.select(F.col("u").alias("source")).distinct()
-    d = depth(edges, src, radius)
+    d = depth(edges, _ends(edges).join(edges.select(F.col("u").alias("source")).distinct(), "source", "left_semi"), radius)
     return edges.join(d, edges.u == d.source).select("id", F.when((F.col("reached") > 0) & (F.col("total") > 0), F.col("reached") * F.col("reached") / F.col("total")).otherwise(0.0).alias("integration"))
 
 

@@ -305,6 +305,11 @@ def test_length_weighted_choice_in_tiles_equals_the_whole(spark, monkeypatch):
     same_in_tiles(monkeypatch, lambda: G.length_weighted_choice(e, 150.0))
 
 
+def test_segment_integration_in_tiles_equals_the_whole(spark, monkeypatch):
+    e = spark.createDataFrame(short_cuts(), SCHEMA)
+    same_in_tiles(monkeypatch, lambda: G.segment_integration(e, 2))
+
+
 def test_metric_reach_in_tiles_equals_the_whole(spark, monkeypatch):
     e = spark.createDataFrame(short_cuts(), SCHEMA)
     same_in_tiles(monkeypatch, lambda: G.metric_reach(e, {"near": 120.0, "far": 150.0}))
