@@ -75,7 +75,8 @@ def nearest(a: DataFrame, b: DataFrame, key: str, id_b: str, *, size: float = 10
         wide = _over(F.col("x2") - reach, F.col("y2") - reach, F.col("x2") + reach, F.col("y2") + reach, reach, b)
         p = open_.select("*", *bucket(F.col("x"), F.col("y"), reach))
         d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-        best = p.join(wide, ["bx", "by"], "left").groupBy(*[c for c in a.columns]).agg(F.min(F.struct(d.alias("dist"), F.col(id_b).alias("id"))).alias("m"))
+        # Spark takes the copies for no larger than b and would gather them on the driver to broadcast them.
+        best = p.join(wide.hint("merge"), ["bx", "by"], "left").groupBy(*[c for c in a.columns]).agg(F.min(F.struct(d.alias("dist"), F.col(id_b).alias("id"))).alias("m"))
         best = materialize(best, "nearest")
         near = F.coalesce(F.col("m.dist") <= reach, F.lit(False))
         got = best.where(near).select(*a.columns, F.col("m.id").alias(id_b), F.col("m.dist").alias("dist"))

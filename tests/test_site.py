@@ -276,3 +276,14 @@ def test_names_of_any_script_are_folded_and_typed(spark, rows):
     assert [r[0] for r in df.select(fold_ascii(F.col("name"))).collect()] == ["pharmacy ea", "pharmacy", "strae", "nha thuoc da", "", None]
     out = {r["name"]: r["type"] for r in type_by_name(df, [("Pharmacy", "Health", ["pharmacy", "nhà thuốc"], [])]).collect()}
     assert out["Ｐｈａｒｍａｃｙ Éa"] == out["Аптека Pharmacy"] == out["Nhà thuốc Đa"] == "Pharmacy" and out["Straße"] is None and out[""] is None
+
+
+def test_nearest_broadcasts_no_copies(spark, monkeypatch):
+    from geolathe import session
+
+    plans, write = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name="t": (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    a = spark.createDataFrame([(1, 0.0, 0.0)], "id bigint, x double, y double")
+    b = spark.createDataFrame([(7, 3.0, 4.0), (8, 30.0, 40.0)], "b bigint, x2 double, y2 double")
+    assert [(r["b"], r["dist"]) for r in S.nearest(a, b, "id", "b", size=10.0).collect()] == [(7, 5.0)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
